@@ -28,6 +28,8 @@ GRAM = 3
 NEIGHBOUR = 4
 #: Share of a template's words that a run must cover, and how much longer than it a run may be.
 COVER, STRETCH = 0.8, 1.5
+#: Characters of templates up to which their k-grams are broadcast; beyond, the join shuffles.
+BROADCAST = 1 << 22
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
 #: Notices and permission texts of public licences, by label.
@@ -103,6 +105,8 @@ def scanned(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, gram: int = G
 
     grams = rows.select("uid", F.explode("grams").alias("g")).select("uid", "g.i", "g.gram", F.xxhash64("g.gram").alias("h"))
     known = template_grams(spark, templates, gram)
+    if sum(len(text) for _, text in templates) < BROADCAST:
+        known = F.broadcast(known)
     hits = grams.join(known.withColumnRenamed("gram", "k"), "h").where(F.col("gram") == F.col("k"))
     votes = hits.groupBy("uid", "template", (F.col("i") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("ats"), F.min("i").alias("lo"), F.max("i").alias("hi"))
     by = Window.partitionBy("uid", "template").orderBy("diagonal")
