@@ -237,6 +237,8 @@ def _strip(joined: DataFrame, kind: str, window: int) -> DataFrame:
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group: int = GROUP) -> DataFrame:
     """doc_id, n_words, n_removed and kept, the text without the words of repeated windows."""
+    if not 0 < prefix <= window < prefix + 62:
+        raise ValueError("the windows of an anchor must fit a 62-bit mask: prefix <= window < prefix + 62")
     numbered = pick(docs, "doc_id", "text").withColumn("uid", F.monotonically_increasing_id())
     places = _places(numbered, window, prefix)
     again = places.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
