@@ -13,9 +13,9 @@ VIETNAM_BBOX = (102.0, 8.0, 110.0, 24.0)
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = EARTH_RADIUS_M) -> Column:
-    """Great-circle distance."""
+    """Great-circle distance; null if a coordinate is."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), F.lit(2.0)) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), F.lit(2.0))
-    return 2 * F.lit(radius) * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
+    return 2 * F.lit(radius) * F.asin(F.sqrt(F.when(a > 1, 1.0).otherwise(a)))
 
 
 def bearing(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

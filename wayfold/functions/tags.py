@@ -33,7 +33,7 @@ ROAD_HIGHWAYS = ("service", "tertiary", "secondary", "primary", "trunk", "unclas
 PATH_HIGHWAYS = ("footway", "path", "steps", "pedestrian", "cycleway", "bridleway", "residential", "service", "living_street", "track", "unclassified")
 POI_RULES = (("tourism", "viewpoint"), ("tourism", "attraction"), ("tourism", "museum"), ("tourism", "artwork"), ("tourism", "picnic_site"), ("amenity", "place_of_worship"), ("building", "temple"), ("building", "church"), ("building", "cathedral"), ("building", "chapel"), ("building", "mosque"), ("building", "pagoda"), ("historic", None), ("natural", "peak"), ("natural", "cave_entrance"), ("man_made", "tower"), ("man_made", "water_well"))
 IMPORTANCE = {"leisure=park": 3.0, "tourism=attraction": 3.0, "amenity=place_of_worship": 2.5, "amenity=university": 2.5, "amenity=school": 2.0, "amenity=hospital": 2.0, "amenity=marketplace": 2.0}
-CATEGORIES = ()
+CATEGORIES = ("Luxury / high-end", "Tourist lodging", "Nightlife", "Food & café", "Religious / historic", "Industrial / logistics", "Civic / institutional", "Walkable commercial", "Local services", "Scenic / water / forest", "Nature / quiet", "Family / residential", "Road-heavy / car-oriented")
 
 
 def tag(tags: Column, key: str) -> Column:

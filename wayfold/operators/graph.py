@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder; a temporary one only where none is set."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="wayfold-"))
+    return df.checkpoint()
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     ends = edges.select(F.col("u").alias("node")).unionAll(edges.select(F.col("v").alias("node")))
     return ends.groupBy("node").agg(F.count("*").alias("degree"))
@@ -21,7 +31,7 @@ def peel(edges: DataFrame, k: int = 2, rounds: int | None = None) -> DataFrame:
         done += 1
         if rounds is None:
             if done % 4 == 0:
-                edges = edges.checkpoint()
+                edges = _cut(edges)
             now = edges.count()
             if now == before:
                 return edges
