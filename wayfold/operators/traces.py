@@ -35,7 +35,7 @@ def samples(points: DataFrame, interval: float = SAMPLE_M, track: str = "file")
         F.min("pos").alias("first_pos"),
         F.max(F.when(middle, F.col("lat"))).alias("lat"),
         F.max(F.when(middle, F.col("lon"))).alias("lon"),
-        F.round(F.max("cum_m"), 3).alias("end_m"),
+        F.max("cum_m").alias("end_m"),
     )
 
 

@@ -44,18 +44,18 @@ G3 = f"""SELECT id, round(((degrees(atan2(sin(radians(lon - 106.705E0)) * cos(ra
 
 def w1_steps(spark, sf_dir):
     out = traces.with_steps(view(spark, sf_dir, "trace"))
-    return out.select("file", "pos", F.round("step_m", 3).alias("step_m"), F.round("cum_m", 2).alias("cum_m"))
+    return out.select("file", "pos", "step_m", F.round("cum_m", 6).alias("cum_m"))
 
 
 _STEPS = f"""SELECT file, pos, lat, lon, coalesce(round({_hav('lag(lat) OVER o', 'lag(lon) OVER o', 'lat', 'lon')}, 6), 0) AS step_m
   FROM ({TRACE}) t WINDOW o AS (PARTITION BY file ORDER BY pos)"""
 _CUM = f"SELECT *, sum(step_m) OVER (PARTITION BY file ORDER BY pos ROWS UNBOUNDED PRECEDING) AS cum_m FROM ({_STEPS}) s"
-W1 = f"SELECT file, pos, round(step_m, 3) AS step_m, round(cum_m, 2) AS cum_m FROM ({_CUM}) c"
+W1 = f"SELECT file, pos, step_m, round(cum_m, 6) AS cum_m FROM ({_CUM}) c"
 
 
 def w2_track_samples(spark, sf_dir):
     out = traces.samples(view(spark, sf_dir, "trace"))
-    return out.select("file", "segment", "points", "first_pos", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), F.round("end_m", 2).alias("end_m"))
+    return out.select("file", "segment", "points", "first_pos", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), F.round("end_m", 6).alias("end_m"))
 
 
 W2 = f"""WITH c AS (SELECT *, CAST(floor(cum_m / 300) AS BIGINT) AS bucket FROM ({_CUM}) c0),
@@ -63,7 +63,7 @@ m AS (SELECT *, CASE WHEN bucket > coalesce(max(bucket) OVER (PARTITION BY file
 s AS (SELECT *, CAST(coalesce(sum(closes) OVER (PARTITION BY file ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS segment FROM m),
 r AS (SELECT *, row_number() OVER (PARTITION BY file, segment ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY file, segment) AS n FROM s)
 SELECT file, segment, count(*) AS points, min(pos) AS first_pos, round(max(CASE WHEN i = n // 2 THEN lat END), 6) AS lat,
-  round(max(CASE WHEN i = n // 2 THEN lon END), 6) AS lon, round(round(max(cum_m), 3), 2) AS end_m FROM r GROUP BY file, segment"""
+  round(max(CASE WHEN i = n // 2 THEN lon END), 6) AS lon, round(max(cum_m), 6) AS end_m FROM r GROUP BY file, segment"""
 
 
 def a16_spans(spark, sf_dir):
