@@ -41,8 +41,9 @@ def targets(sizes: DataFrame) -> DataFrame:
     level = (F.sum("source_size").over(all_rows) - MOST * F.coalesce(F.sum("source_size").over(earlier), F.lit(0))) / (
         F.sum("weight").over(all_rows) - F.coalesce(F.sum("weight").over(earlier), F.lit(0.0))
     )
-    least = F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(all_rows)
-    out = ranked.withColumn("level", level).withColumn("level", least)
+    # the first source in order that the level leaves below its limit: all before it stop at theirs
+    first = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("place", "level"))).over(all_rows)
+    out = ranked.withColumn("level", level).withColumn("place", F.row_number().over(order)).withColumn("level", first["level"])
     return out.withColumn("target", F.least((MOST * F.col("source_size")).cast("double"), F.col("level") * F.col("weight"))).select("src", "source_size", "weight", "target")
 
 
@@ -138,10 +139,10 @@ h AS (SELECT *, CAST('0x' || substr(md5(concat_ws('|', coalesce(CAST(doc_id AS V
 s AS (SELECT src, CAST(sum(size) AS BIGINT) AS source_size FROM h GROUP BY src),
 w AS (SELECT *, CAST(1 + (row_number() OVER (ORDER BY src NULLS LAST) - 1) % 3 AS DOUBLE) AS weight FROM s),
 r AS (SELECT *, 3 * source_size / weight AS ratio FROM w),
-l AS (SELECT *, CAST(sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER e, 0) AS DOUBLE)
+l AS (SELECT *, row_number() OVER (ORDER BY ratio, src NULLS LAST) AS place, CAST(sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER e, 0) AS DOUBLE)
                / (sum(weight) OVER () - coalesce(sum(weight) OVER e, 0)) AS level
       FROM r WINDOW e AS (ORDER BY ratio, src NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-t AS (SELECT src, source_size, least(CAST(3 * source_size AS DOUBLE), min(CASE WHEN level <= ratio THEN level END) OVER () * weight) AS target FROM l),
+t AS (SELECT src, source_size, least(CAST(3 * source_size AS DOUBLE), (SELECT level FROM l WHERE level <= ratio ORDER BY place LIMIT 1) * weight) AS target FROM l),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN least(CAST(floor(target / source_size) AS BIGINT), 3) ELSE 0 END AS rate FROM t),
 c AS (SELECT h.doc_id, h.size, p.source_size, p.target, p.rate, p.target - p.rate * p.source_size AS budget,
              sum(h.size) OVER (PARTITION BY h.src ORDER BY h.u RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
