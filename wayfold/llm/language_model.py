@@ -32,6 +32,7 @@ CLASSES, MEMBERS = 63, 64
 COMMON = 1 << 21
 #: Rows of weights: for classes by word before, skipped word and both; for members by word before and skipped word.
 ROWS = (1 << 12, 1 << 12, 1 << 13, 1 << 13, 1 << 12)
+FIRST = np.append(0, np.cumsum(ROWS)[:-1])
 WIDTH = 64
 RATE, BATCH, ROUNDS = 0.3, 4096, 1
 #: Training tasks at most: what they send does not grow beyond that times the weights.
@@ -102,16 +103,44 @@ def features(slot: np.ndarray, one: np.ndarray, two: np.ndarray) -> list[np.ndar
 def softmax(z: np.ndarray) -> np.ndarray:
     z -= z.max(1, keepdims=True)
     np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
+    z /= (z @ np.ones(z.shape[1], z.dtype))[:, None]
     return z
 
 
+def added(first: np.ndarray, *rest: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """``first``, to which is added for each (table, rows) those rows of the table."""
+    for table, rows in rest:
+        first += table.take(rows, axis=0)
+    return first
+
+
 def probabilities(w: Weights, slot: np.ndarray, f: list[np.ndarray]):
     """Class probabilities, and members' for the tokens ``inside`` a class."""
-    p = softmax(w.class_bias + w.rows[0][f[0]] + w.rows[1][f[1]] + w.rows[2][f[2]])
+    p = added(w.rows[0].take(f[0], axis=0), (w.rows[1], f[1]), (w.rows[2], f[2]))
+    p += w.class_bias
     inside = np.flatnonzero(slot >= 0)
-    q = softmax(w.member_bias[slot[inside] // MEMBERS] + w.rows[3][f[3][inside]] + w.rows[4][f[4][inside]])
-    return p, inside, q
+    q = added(w.member_bias.take(slot[inside] // MEMBERS, axis=0), (w.rows[3], f[3][inside]), (w.rows[4], f[4][inside]))
+    return softmax(p), inside, softmax(q)
+
+
+def grouped(rows: np.ndarray, g: np.ndarray, single: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct ``rows``, how often each stands there and the sums of its rows of ``g``: the first
+    ``single`` of each are added at once, and only what longer runs have beyond them run by run."""
+    order = np.argsort(rows.astype(np.int16), kind="stable")  # all tables have under 2**15 rows
+    ordered = rows[order]
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    n = np.diff(np.append(first, len(rows)))
+    sums = g.take(order[first], axis=0)
+    for k in range(1, single):
+        more = np.flatnonzero(n > k)
+        sums[more] += g.take(order[first[more] + k], axis=0)
+    more = np.flatnonzero(n > single)
+    if len(more):
+        rest = n[more] - single
+        begin = np.append(0, np.cumsum(rest)[:-1])
+        at = np.arange(rest.sum()) + np.repeat(first[more] + single - begin, rest)
+        sums[more] += np.add.reduceat(g.take(order[at], axis=0), begin)
+    return ordered[first], n, sums
 
 
 def update(w: Weights, squares: list[np.ndarray], touched: list[np.ndarray], slot: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
@@ -123,13 +152,11 @@ def update(w: Weights, squares: list[np.ndarray], touched: list[np.ndarray], slo
     for i, (rows, g) in enumerate([(f[0], p), (f[1], p), (f[2], p), (f[3][inside], q), (f[4][inside], q)]):
         if not len(rows):
             continue
-        order = np.argsort(rows, kind="stable")
-        ordered = rows[order]
-        first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-        summed, at = np.add.reduceat(g[order], first), ordered[first]
+        at, n, summed = grouped(rows, g)
         squares[i][at] += np.einsum("ij,ij->i", summed, summed)
-        touched[i][at] += np.diff(np.append(first, len(rows)))
-        w.rows[i][at] -= RATE * summed / np.sqrt(squares[i][at] + 1e-6)[:, None]
+        touched[i][at] += n
+        summed *= (RATE / np.sqrt(squares[i][at] + np.float32(1e-6)))[:, None]
+        w.rows[i][at] -= summed
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -190,26 +217,27 @@ def trained(docs: DataFrame, w: Weights, rounds: int = ROUNDS) -> Weights:
                 for a in range(0, len(rows), 5000):
                     part = rows[a : a + 5000]
                     values = [x.tobytes() for x in change[a : a + 5000].astype("<f4")]
-                    yield pa.RecordBatch.from_arrays([pa.array(part + (i << 32)), pa.array(t[part]), pa.array(values, pa.binary())], names=["row", "n", "change"])
+                    yield pa.RecordBatch.from_arrays([pa.array(part + FIRST[i]), pa.array(t[part]), pa.array(values, pa.binary())], names=["row", "n", "change"])
 
+        # At most a row for each row of weights: a task holds no more than the weights.
         def add(batches):
             import pyarrow as pa
 
-            sums: dict[int, list] = {}
+            n, sums = np.zeros(sum(ROWS), np.int64), np.zeros((sum(ROWS), WIDTH))
             for batch in batches:
-                for row, n, change in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    held = sums.setdefault(row, [0, np.zeros(WIDTH)])
-                    held[0] += n
-                    held[1] += np.frombuffer(change, "<f4")
-            rows = sorted(sums)
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array([(sums[r][1] / sums[r][0]).astype("<f4").tobytes() for r in rows], pa.binary())], names=["row", "change"])
+                row = batch.column(0).to_numpy()
+                change = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<f4")
+                np.add.at(n, row, batch.column(1).to_numpy())
+                np.add.at(sums.ravel(), (row[:, None] * WIDTH + np.arange(WIDTH)).ravel(), change)
+            rows = np.flatnonzero(n)
+            values = (sums[rows] / n[rows, None]).astype("<f4")
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array([v.tobytes() for v in values], pa.binary())], names=["row", "change"])
 
         sent = docs.select("text").coalesce(TASKS).mapInArrow(learn, "row long, n long, change binary")
         table = sent.repartition("row").mapInArrow(add, "row long, change binary").toArrow()
-        rows = [r.copy() for r in w.rows]
-        for row, change in zip(table.column("row").to_pylist(), table.column("change").to_pylist(), strict=True):
-            rows[row >> 32][row & 0xFFFFFFFF] += np.frombuffer(change, "<f4")
-        w = Weights(w.words, w.slots, w.class_bias, w.member_bias, rows)
+        rows = np.concatenate(w.rows)
+        rows[table.column("row").to_numpy()] += np.frombuffer(b"".join(table.column("change").to_pylist()), "<f4").reshape(-1, WIDTH)
+        w = Weights(w.words, w.slots, w.class_bias, w.member_bias, np.split(rows, FIRST[1:]))
     return w
 
 
