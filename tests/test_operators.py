@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayfold import plans
-from wayfold.functions import geo, tags
-from wayfold.operators import graph, spatial, tables, traces
+from wayfold.functions import geo, parse, tags
+from wayfold.operators import graph, ordered, spatial, tables, traces
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -77,3 +77,22 @@ def test_in_ring(spark):
     ring = F.array(*[F.struct(F.lit(float(a)).alias("lat"), F.lit(float(b)).alias("lon")) for a, b in ((0, 0), (0, 4), (4, 4), (4, 0))])
     row = spark.range(1).select(geo.in_ring(F.lit(2.0), F.lit(2.0), ring), geo.in_ring(F.lit(5.0), F.lit(2.0), ring)).first()
     assert tuple(row) == (True, False)
+
+
+def test_parse(spark):
+    rows = spark.createDataFrame([("1, 2", " a \n b "), ("1", ""), ("1,x", None), (None, "c")], "p string, t string")
+    lat, lon = parse.lat_lon(F.col("p"))
+    assert [tuple(r) for r in rows.select(lat, lon, parse.collapsed(F.col("t"), "none")).collect()] == [(1.0, 2.0, "a b"), (None, None, "none"), (None, None, "none"), (None, None, "c")]
+    kinds = [{"ele": "x", "elevation": "12 m"}, {"ele": "7.5 m"}, {}, None]
+    tag = spark.createDataFrame([(k,) for k in kinds], "t map<string,string>").select(parse.elevation(F.col("t")).alias("e"), parse.is_crossing(F.col("t")).alias("c"))
+    assert [tuple(r) for r in tag.collect()] == [(12.0, False), (7.5, False), (None, False), (None, False)]
+
+
+def test_ordered_on_empty_null_and_short_tracks(spark):
+    schema = "file long, pos long, lat double, lon double"
+    empty = spark.createDataFrame([], schema)
+    for f in (ordered.without_near, ordered.chunks, lambda x: ordered.binned(x, 10.0), ordered.ring_turns, ordered.following):
+        assert f(empty).count() == 0
+    rows = spark.createDataFrame([(1, 0, 10.0, 106.0), (1, 1, 10.0, 106.0), (1, 2, None, 106.0), (2, 0, 10.0, 106.0), (2, 1, 10.01, 106.0), (2, 2, 10.02, 106.0)], schema)
+    assert sorted((r.file, r.pos) for r in ordered.without_near(rows).collect()) == [(1, 0), (2, 0), (2, 1), (2, 2)]
+    assert sorted((r.file, r.chunk, r.pos) for r in ordered.chunks(rows).collect()) == [(1, 0, 0), (1, 0, 1), (2, 0, 0), (2, 0, 1), (2, 1, 1), (2, 1, 2)]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import geo, tags
 from wayfold.operators import graph, spatial, tables, traces
+from wayfold.plans.more import MORE
 from wayfold.plans.views import EDGES, MEMBERS, PLACES, REFS, TRACE, view
 
 CENTRE = (10.775, 106.705)
@@ -239,7 +240,7 @@ _ALL = {
     "a1_cells": (a1_cells, A1), "a6_width": (a6_width, A6), "a13_drop_repeated": (a13_drop_repeated, A13), "a14_first_of": (a14_first_of, A14), "a16_spans": (a16_spans, A16),
     "w1_steps": (w1_steps, W1), "w2_track_samples": (w2_track_samples, W2), "w11_slugs": (w11_slugs, W11), "r1_degrees": (r1_degrees, R1), "r2_peel": (r2_peel, R2),
     "r6_triangles": (r6_triangles, R6), "k22_timestamps": (k22_timestamps, K22),
-}
+} | MORE
 
 
 def queries() -> dict:
