@@ -8,7 +8,7 @@ from wayfold.functions import geo, parse
 from wayfold.operators import ordered, traces
 from wayfold.plans.views import PLACES, REFS, TRACE, view
 
-NEAR_M, BIN_M = 60.0, 500.0
+NEAR_M, BIN_M = 100.0, 500.0
 
 
 def _hav(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
