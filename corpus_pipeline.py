@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfold.llm import decontamination, hash_tree, mixing, quality, simhash
+from wayfold.llm import decontamination, hash_tree, mixing, near_copies, quality
 from wayfold.llm.common import read, written
 
 #: Words of a shingle for near duplicates in the pipeline.
@@ -22,8 +22,9 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that with the smallest id, of each group of near duplicates."""
-    return simhash.one_of_each(docs, SHINGLE)
+    """Keeps one document, that with the smallest id, of each group of near copies:
+    texts that a chain of pairs links whose shingles have a Jaccard similarity of 0.8 or more."""
+    return near_copies.one_of_each(docs, SHINGLE)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

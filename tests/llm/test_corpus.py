@@ -316,3 +316,30 @@ def test_pipeline_stages(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, frame(spark, []), SF).count() == 0
         stage(spark, frame(spark, ODD), SF).count()
+
+
+def test_near_dedup_equals_brute_force(spark):
+    rng = random.Random(11)
+    say = lambda k: [f"w{rng.randrange(300)}" for _ in range(k)]
+    passage, texts = say(40), [say(n) for n in (1, 3, 5, 6, 12, 40, 120, 300)]
+    for base in [say(rng.randint(20, 200)) for _ in range(25)]:
+        base += passage * (rng.random() < 0.5)
+        for _ in range(4):
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), rng.randint(0, 1 + len(copy) // 40)):
+                copy[at] = "edited"
+            texts.append(copy[: len(copy) - rng.choice([0, 0, 3, len(copy) // 6])])
+    texts += [texts[9], [x.upper() for x in texts[20]], [], []]
+    rng.shuffle(texts)
+    k = corpus_pipeline.SHINGLE
+    sets = [{tuple(x.lower() for x in t[i : i + k]) for i in range(max(1, len(t) - k + 1))} for t in texts]
+    root, near = list(range(len(texts))), 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 10 * len(a & b) >= 8 * len(a | b):
+                near += a != b
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    docs = frame(spark, [(i, " ".join(t), "en", "s", 0) for i, t in enumerate(texts)])
+    got = sorted(r[0] for r in corpus_pipeline.near_dedup(spark, docs, SF).select("doc_id").collect())
+    assert near > 20 and got == sorted(set(root))
