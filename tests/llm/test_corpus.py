@@ -304,6 +304,21 @@ def test_op10_model_sums_to_one(spark):
         assert sum(p[:-1]) + ((1 << 21) - len(symbols)) * p[-1] == pytest.approx(1, abs=1e-6)
 
 
+def test_op10_bands_reject_labelled_junk(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    rows = registry.queries()["op10_quality_rules"](spark, sf).where("NOT base_failed").join(labels, "doc_id")
+    rejected = {r.quality: r.share for r in rows.groupBy("quality").agg(F.avg((~F.col("kept")).cast("double")).alias("share")).collect()}
+    assert rejected[0] > 0.25 and rejected[1] < 0.01
+
+
+def test_op10_bands_without_spread(spark):
+    rows = spark.createDataFrame([("x", 1.0)] * 9 + [("y", 1.0 + i / 100) for i in range(9)], "lang string, log_perplexity double")
+    got = {r.lang: r for r in quality_rules.bands(rows).collect()}
+    assert got["x"].upper - got["x"].lower == pytest.approx(2 * quality_rules.LEAST)
+    assert got["y"].upper - got["y"].lower == pytest.approx((quality_rules.ABOVE + quality_rules.BELOW) * 0.02, rel=0.2)
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
