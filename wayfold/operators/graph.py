@@ -40,7 +40,12 @@ def peel(edges: DataFrame, k: int = 2, rounds: int | None = None) -> DataFrame:
 
 
 def triangles(edges: DataFrame) -> DataFrame:
-    """Cycles of three edges, each once, smallest node first."""
-    a, b, c = edges.alias("a"), edges.alias("b"), edges.alias("c")
-    two = a.join(b, F.col("a.v") == F.col("b.u")).select(F.col("a.u").alias("x"), F.col("a.v").alias("y"), F.col("b.v").alias("z"))
-    return two.join(c, (F.col("x") == F.col("c.u")) & (F.col("z") == F.col("c.v"))).select("x", "y", "z")
+    """Cycles of three edges, each once, smallest node first. Paths of two edges start at the end of
+    lower degree, so a hub makes few of them."""
+    d = degrees(edges)
+    both = edges.join(d.toDF("u", "du"), "u").join(d.toDF("v", "dv"), "v")
+    up = (F.col("du") < F.col("dv")) | ((F.col("du") == F.col("dv")) & (F.col("u") < F.col("v")))
+    out = both.select(F.when(up, F.col("u")).otherwise(F.col("v")).alias("o"), F.when(up, F.col("v")).otherwise(F.col("u")).alias("w"))
+    two = out.withColumnRenamed("w", "u").join(out.withColumnRenamed("w", "v"), "o").where("u < v")
+    three = F.sort_array(F.array("o", "u", "v"))
+    return two.join(edges, ["u", "v"]).select(three[0].alias("x"), three[1].alias("y"), three[2].alias("z"))

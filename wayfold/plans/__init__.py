@@ -179,6 +179,14 @@ def r6_triangles(spark, sf_dir):
 
 R6 = f"WITH e AS (SELECT * FROM ({EDGES}) e1 WHERE {_PART}) SELECT a.u AS x, a.v AS y, b.v AS z FROM e a JOIN e b ON a.v = b.u JOIN e c ON c.u = a.u AND c.v = b.v"
 
+
+
+def r6_all_triangles(spark, sf_dir):
+    return graph.triangles(view(spark, sf_dir, "edges"))
+
+
+R6_ALL = f"WITH e AS (SELECT * FROM ({EDGES}) e1) SELECT a.u AS x, a.v AS y, b.v AS z FROM e a JOIN e b ON a.v = b.u JOIN e c ON c.u = a.u AND c.v = b.v"
+
 _KIND = "CASE WHEN size % 3 = 0 THEN 'food' WHEN size % 3 = 1 THEN 'road' ELSE 'quiet' END"
 
 
@@ -239,7 +247,7 @@ _ALL = {
     "t4_category": (t4_category, T4), "j1_way_lines": (j1_way_lines, J1), "j3_within": (j3_within, J3), "j6_nearest": (j6_nearest, J6), "j19_relations": (j19_relations, J19),
     "a1_cells": (a1_cells, A1), "a6_width": (a6_width, A6), "a13_drop_repeated": (a13_drop_repeated, A13), "a14_first_of": (a14_first_of, A14), "a16_spans": (a16_spans, A16),
     "w1_steps": (w1_steps, W1), "w2_track_samples": (w2_track_samples, W2), "w11_slugs": (w11_slugs, W11), "r1_degrees": (r1_degrees, R1), "r2_peel": (r2_peel, R2),
-    "r6_triangles": (r6_triangles, R6), "k22_timestamps": (k22_timestamps, K22),
+    "r6_triangles": (r6_triangles, R6), "r6_all_triangles": (r6_all_triangles, R6_ALL), "k22_timestamps": (k22_timestamps, K22),
 } | MORE
 
 
