@@ -170,6 +170,18 @@ R2 = f"""WITH e AS (SELECT * FROM ({EDGES}) e1 WHERE u % 3 <> 0 OR v % 5 = 0),
 d1 AS ({_DEG.format(e='SELECT * FROM e')}), e1 AS (SELECT * FROM e WHERE u NOT IN (SELECT node FROM d1 WHERE degree < 3) AND v NOT IN (SELECT node FROM d1 WHERE degree < 3)),
 d2 AS ({_DEG.format(e='SELECT * FROM e1')}) SELECT * FROM e1 WHERE u NOT IN (SELECT node FROM d2 WHERE degree < 3) AND v NOT IN (SELECT node FROM d2 WHERE degree < 3)"""
 
+
+def r2_core(spark, sf_dir):
+    return graph.peel(view(spark, sf_dir, "edges"), 2)
+
+
+# both ways of each edge, so that the degrees of a row's ends are counts over it; the last round is the fixpoint, or has only edges that go
+R2_CORE = f"""WITH RECURSIVE r AS (SELECT 0 AS i, x.* FROM (SELECT u AS a, v AS b FROM ({EDGES}) e1 UNION ALL SELECT v, u FROM ({EDGES}) e2) x
+UNION ALL SELECT i + 1, a, b FROM (SELECT *, min(least(da, db)) OVER () AS m FROM (SELECT *, count(*) OVER (PARTITION BY a) AS da, count(*) OVER (PARTITION BY b) AS db FROM r) c) d
+WHERE m < 2 AND da >= 2 AND db >= 2),
+z AS (SELECT *, count(*) OVER (PARTITION BY a) AS da, count(*) OVER (PARTITION BY b) AS db FROM r WHERE i = (SELECT max(i) FROM r))
+SELECT a AS u, b AS v FROM z WHERE a < b AND da >= 2 AND db >= 2"""
+
 _PART = "(u % 4 = 0 AND v % 4 = 0)"
 
 
@@ -246,7 +258,7 @@ _ALL = {
     "f1_bbox": (f1_bbox, F1), "f2_radius": (f2_radius, F2), "f16_gate": (f16_gate, F16), "g3_bearing": (g3_bearing, G3), "g36_scores": (g36_scores, G36),
     "t4_category": (t4_category, T4), "j1_way_lines": (j1_way_lines, J1), "j3_within": (j3_within, J3), "j6_nearest": (j6_nearest, J6), "j19_relations": (j19_relations, J19),
     "a1_cells": (a1_cells, A1), "a6_width": (a6_width, A6), "a13_drop_repeated": (a13_drop_repeated, A13), "a14_first_of": (a14_first_of, A14), "a16_spans": (a16_spans, A16),
-    "w1_steps": (w1_steps, W1), "w2_track_samples": (w2_track_samples, W2), "w11_slugs": (w11_slugs, W11), "r1_degrees": (r1_degrees, R1), "r2_peel": (r2_peel, R2),
+    "w1_steps": (w1_steps, W1), "w2_track_samples": (w2_track_samples, W2), "w11_slugs": (w11_slugs, W11), "r1_degrees": (r1_degrees, R1), "r2_peel": (r2_peel, R2), "r2_core": (r2_core, R2_CORE),
     "r6_triangles": (r6_triangles, R6), "r6_all_triangles": (r6_all_triangles, R6_ALL), "k22_timestamps": (k22_timestamps, K22),
 } | MORE
 
