@@ -12,8 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from wayfold.llm import decontamination, hash_tree, language_model, licenses, mixing, quality, quality_rules, registry, simhash, substrings, warc
+from wayfold.llm import decontamination, hash_tree, language_model, licenses, mixing, near_copies, pipeline, quality, quality_rules, registry, simhash, substrings, warc
 from wayfold.llm.common import word_hashes
 
 SF = "/root/testdata/sf0.001"
@@ -321,14 +320,14 @@ def test_op10_bands_without_spread(spark):
 
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
+    for name, stage in pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns, name
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
-    kept = {r.doc_id for r in corpus_pipeline.quality_filter(spark, docs, SF).select("doc_id").collect()}
+    kept = {r.doc_id for r in pipeline.quality_filter(spark, docs, SF).select("doc_id").collect()}
     good = [d for d, q in labels.items() if q == 1]
     assert len([d for d in good if d in kept]) >= 0.97 * len(good)
-    assert corpus_pipeline.run(spark, SF).count() > 0
-    for _, stage in corpus_pipeline.STAGES:
+    assert pipeline.run(spark, SF).count() > 0
+    for _, stage in pipeline.STAGES:
         assert stage(spark, frame(spark, []), SF).count() == 0
         stage(spark, frame(spark, ODD), SF).count()
 
@@ -346,7 +345,7 @@ def test_near_dedup_equals_brute_force(spark):
             texts.append(copy[: len(copy) - rng.choice([0, 0, 3, len(copy) // 6])])
     texts += [texts[9], [x.upper() for x in texts[20]], [], []]
     rng.shuffle(texts)
-    k = corpus_pipeline.SHINGLE
+    k = pipeline.SHINGLE
     sets = [{tuple(x.lower() for x in t[i : i + k]) for i in range(max(1, len(t) - k + 1))} for t in texts]
     root, near = list(range(len(texts))), 0
     for i, a in enumerate(sets):
@@ -356,5 +355,5 @@ def test_near_dedup_equals_brute_force(spark):
                 low, high = sorted((root[i], root[j]))
                 root = [low if r == high else r for r in root]
     docs = frame(spark, [(i, " ".join(t), "en", "s", 0) for i, t in enumerate(texts)])
-    got = sorted(r[0] for r in corpus_pipeline.near_dedup(spark, docs, SF).select("doc_id").collect())
+    got = sorted(r[0] for r in pipeline.near_dedup(spark, docs, SF).select("doc_id").collect())
     assert near > 20 and got == sorted(set(root))

@@ -6,6 +6,7 @@ that is exactly what ``bytes.split()`` returns, so the Python paths never decode
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 #: White space that ends a word, as a Java and RE2 character class.
 SPACE = r"[\x20\x09-\x0D]"
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
+#: Keys that ``keyed_join`` broadcasts are fewer than this, whatever the tables hold.
+HOT = 4096
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -41,12 +44,15 @@ def keep_rows(df: DataFrame, decide) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is configured."""
+    """The folder that all executors share. Where none is configured, a temporary one, but only if
+    driver and executors are one process: on a cluster that raises."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="wayfold-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -64,7 +70,51 @@ def written(df: DataFrame, name: str) -> DataFrame:
     no more than the tasks it ran."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` that no DataFrame in use reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def keyed_join(left: DataFrame, right: DataFrame, keys: list[str], counts: DataFrame, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which has one row a key at most. ``counts`` (keys, n) holds the
+    rows of ``left`` by key. Keys with more than one in ``HOT`` of all rows, so fewer than ``HOT``, are
+    sent to the tasks with their rows of ``right``; of the rest no key can fill a task of the shuffle."""
+    total = counts.agg(F.sum("n")).head()[0] or 0
+    hot = written(counts.where(F.col("n") * F.lit(HOT) > F.lit(total)).select(*keys), "hot")
+    if not hot.head(1):
+        return left.join(right, keys, how)
+    few = F.broadcast(hot)
+    rest = left.join(few, keys, "left_anti").join(right.join(few, keys, "left_anti"), keys, how)
+    dense = left.join(few, keys, "left_semi").join(F.broadcast(right.join(few, keys, "left_semi")), keys, how)
+    return rest.unionByName(dense)
+
+
+def identified(df: DataFrame, doc_id: Column, text: Column) -> DataFrame:
+    """``df`` with uid, a hash of the text, and rid, one of id and text. Both follow from a row's
+    values, so they stay the same however often and in whatever splits the table is read."""
+    return df.withColumn("uid", F.xxhash64(text)).withColumn("rid", F.xxhash64(F.lit(1), doc_id, text))
+
+
+def one_of_equals(df: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``df`` that ``kept`` (uid, rid, copies) names, one of each: of rows with equal id and
+    text the one with the least hash of all its columns, found with map-side minima."""
+    keys, kept = ["uid", "rid"], written(kept, "kept")
+    single = df.join(kept.where("copies = 1").select(*keys), keys, "left_semi")
+    several = kept.where("copies > 1")
+    if not several.head(1):
+        return single
+    rows = keyed_join(df, several.select(*keys), keys, several.select(*keys, F.col("copies").alias("n")), "left_semi")
+    order = F.struct(F.xxhash64(F.to_json(F.struct(*df.columns))))
+    one = rows.groupBy(*keys).agg(F.min_by(F.struct(*df.columns), order).alias("r")).select("r.*")
+    return single.unionByName(one)
 
 
 def n_words(text: Column) -> Column:

@@ -9,7 +9,7 @@ left. The document at the threshold is taken if that brings the source nearer it
 
 Everything is DataFrame expressions. Null texts have size 0; null sources are a source of their
 own, the last; rows with equal ids and sizes are told apart by their place in the table, so a
-repeated row can be taken more often than its copy; an empty table gives an empty result.
+repeated row can be taken more often than its copy (that place is read once and written); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from wayfold.llm.common import keep_rows, n_words, pick, read, written
 WEIGHTS = (1.0, 2.0, 3.0)
 #: No document is taken more often than this.
 MOST = 3
+#: Sources up to which their plan is broadcast; beyond, the join shuffles, and no source can hold many of the rows.
+FEW = 100_000
 #: Bits of the hash used at each refinement, and refinements: 48 bits of the row's values, then 24 of its place.
 BITS, LEVELS = 12, 6
 
@@ -103,7 +105,11 @@ def _keyed(df: DataFrame, doc_id, source, text) -> DataFrame:
 
 
 def _taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """``rows`` with ``times``, the number of copies that the mix takes."""
+    """``rows`` with ``times``, the number of copies that the mix takes. A plan of ``FEW`` sources or
+    fewer is sent to the tasks, so a source with a third of all rows fills no task."""
+    plan = written(plan, "mix-cuts")
+    if plan.count() <= FEW:
+        plan = F.broadcast(plan)
     more = (F.col("u") < F.col("tu")) | ((F.col("u") == F.col("tu")) & (F.col("v") < F.col("tv")))
     times = F.least(F.col("rate") + F.when(more, 1).otherwise(0), F.lit(MOST)).cast("int")
     return rows.join(plan, F.col("src").eqNullSafe(F.col("s"))).withColumn("times", times)
@@ -120,8 +126,9 @@ def mix_rows(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, with the columns of ``docs``."""
 
     def decide(plain: DataFrame, old) -> DataFrame:
-        keyed = _keyed(plain, old("doc_id"), old("source"), old("text"))
-        taken = _taken(keyed, _plan(written(keyed.select("src", "size", "u", "v"), "mix"))).where("times > 0")
+        # the place in the table is taken once and written, as another scan may split the table differently
+        keyed = written(_keyed(plain, old("doc_id"), old("source"), old("text")), "mix")
+        taken = _taken(keyed, _plan(keyed.select("src", "size", "u", "v"))).where("times > 0")
         return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
 
     return keep_rows(docs, decide)

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-from wayfold.llm import decontamination, hash_tree, language_model, licenses, mixing, quality, quality_rules, simhash, substrings, warc
+from wayfold.llm import decontamination, hash_tree, language_model, licenses, mixing, pipeline, quality, quality_rules, simhash, substrings, warc
 
 
 def queries() -> dict:
@@ -18,7 +17,7 @@ def queries() -> dict:
         "op8_shards": hash_tree.op8,
         "op9_language_model": language_model.op9,
         "op10_quality_rules": quality_rules.op10,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
     }
 
 

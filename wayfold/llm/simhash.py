@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import keep_rows, pick, read, written
+from wayfold.llm.common import discard, identified, keep_rows, keyed_join, one_of_equals, pick, read, written
 
 SHINGLE, SEED, BUDGET = 3, 42, 2
 #: First bit and bits of each segment of the ring.
@@ -129,7 +129,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     now = written(edges.select("a", "b").where("a <> b").distinct(), "links")
     before = None
     for _ in range(most):
-        now = written(stars(stars(now, True), False), "stars")
+        last, now = now, written(stars(stars(now, True), False), "stars")
+        discard(last)
         state = mark(now)
         if state == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -150,8 +151,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     rows = written(pick(docs, "doc_id", "text").select("doc_id", of("text").alias("fp")), "simhash")
     roots = grouped(rows)
     least = rows.groupBy("fp").agg(F.min("doc_id").alias("m")).join(roots, "fp").groupBy("root").agg(F.min("m").alias("component_id"))
-    ids = roots.join(least, "root").select(F.col("fp").alias("f"), "component_id")
-    return rows.join(ids, F.col("fp") == F.col("f")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    ids = roots.join(least, "root").select("fp", "component_id")
+    return keyed_join(rows, ids, ["fp"], rows.groupBy("fp").agg(F.count("*").alias("n"))).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,16 +160,16 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` with one of each component: that with the smallest id, and of equal ids
-    the first of the table."""
+    """The rows of ``docs`` with one of each component: that with the smallest id, of equal ids the one
+    with the least hash of its text, and one of rows that are equal in both."""
     of = fingerprints(shingle)
 
     def decide(plain: DataFrame, old) -> DataFrame:
-        numbered = plain.withColumn("uid", F.monotonically_increasing_id())
-        rows = written(numbered.select("uid", old("doc_id").alias("doc_id"), of(old("text")).alias("fp")), "simhash")
-        order = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("first")
+        numbered = identified(plain, old("doc_id"), old("text"))
+        rows = written(numbered.select("uid", "rid", old("doc_id").alias("doc_id"), of(old("text")).alias("fp")), "simhash")
+        order = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid", "rid")).alias("first")
         firsts = rows.groupBy("fp").agg(order).join(grouped(rows), "fp").groupBy("root").agg(F.min("first").alias("first"))
-        kept = written(firsts.select(F.col("first.uid").alias("uid")), "kept")
-        return numbered.join(kept, "uid", "left_semi")
+        repeats = rows.groupBy("uid", "rid").agg(F.count("*").alias("copies"))
+        return one_of_equals(numbered, firsts.select("first.uid", "first.rid").join(repeats, ["uid", "rid"]))
 
     return keep_rows(docs, decide)
