@@ -3,16 +3,18 @@
 Items and windows of documents are sequences of normalised words (lower case, letters, digits and
 anything beyond ASCII). The CGK walk reads a sequence step by step, staying on a word or going on
 by a random bit of step and word, and puts out the word that it is on; few edits become few
-differing outputs. Each of ``REPEATS`` tables has a walk and a sample of outputs of its own; a
-window whose sample equals an item's is a candidate, and the exact word edit distance of the item
-to any stretch of the document there decides: at most ``1 - SIMILARITY`` of the item's words.
+differing outputs. Items are cut into pieces of about ``PIECE`` words, as a walk loses its way the more
+edits it passes: of the pieces of an item with d edits, one has its share of d at most. Each of
+``REPEATS`` tables has a walk and a sample of outputs of its own; a window whose sample equals a
+piece's is a candidate, and the exact word edit distance of the whole item to any stretch of the
+document there decides: at most ``1 - SIMILARITY`` of the item's words.
 
-Windows are item-sized: items whose lengths lie within a quarter of each other share windows of
+Windows are piece-sized: pieces whose lengths lie within a quarter of each other share windows of
 the shortest length, and walks that sample the outputs over that length. Which windows are walked
-follows from a bound that loses none: d edits leave all but 2 d of the word pairs of the item's
+follows from a bound that loses none: d edits leave all but 2 d of the word pairs of the piece's
 beginning, so a window with fewer distinct pairs that occur in the benchmark cannot match. Items
 are the query set and are sent to the tasks in blocks of ``BLOCK`` words at most, one pass over
-the documents for each block.
+the documents for each block; if there are several, each pass is written and its block released.
 
 Null and empty texts match nothing, nor do items without words; equal items are each reported,
 equal documents too; empty tables give empty results.
@@ -28,13 +30,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from wayfold.llm.common import keep_rows, mix, pick, read, texts_of, word_hashes, written
+from wayfold.llm.common import discard, keep_rows, mix, pick, read, texts_of, word_hashes, written
 
 SIMILARITY = 0.8
 #: Walks, and outputs that each samples: an item at the greatest distance is missed with less than
-#: 1 in 100 (measured in tests/llm).
+#: 1 in 100, by any kind of edit, at 14 to 200 words (measured in tests/llm).
 REPEATS, SAMPLED = 16, 2
-#: Lengths of items that share windows: the longest over the shortest.
+#: Words of a piece of an item, about.
+PIECE = 20
+#: Lengths of pieces that share windows: the longest over the shortest.
 SPREAD = 1.25
 #: Steps of a walk for each word of the window; a walk passes half a word a step.
 STEPS = 1.5
@@ -95,15 +99,21 @@ def infix_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return int(row[end]), int(start[end]), end
 
 
+def pieces(n: int, size: int = PIECE) -> list[tuple[int, int]]:
+    """First place and place after the last of the pieces of n words, nearly equal in length."""
+    parts = max(1, round(n / size))
+    cuts = [n * i // parts for i in range(parts + 1)]
+    return list(zip(cuts[:-1], cuts[1:], strict=True))
+
+
 @dataclass
 class Kind:
-    """Items that share windows of ``length`` words: numbers, the pairs a window must hold, and for
-    each repeat the sorted keys with the items they belong to."""
+    """Pieces that share windows of ``length`` words: the pairs a window must hold, and for each repeat
+    the sorted keys with the items they belong to and the pieces' places in them."""
 
     length: int
-    items: list[int]
     least: int
-    keys: list[tuple[np.ndarray, np.ndarray]]
+    keys: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 class Index:
@@ -115,26 +125,32 @@ class Index:
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.pairs & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
         self.single = np.unique(np.concatenate([np.zeros(0, np.uint64), *[h for h in items if len(h) == 1]]))
-        order = sorted((i for i, h in enumerate(items) if len(h)), key=lambda i: len(items[i]))
-        self.pad = int(STEPS * max((len(h) for h in items), default=1)) + 2
+        cut = [(i, a, items[i][a:b]) for i, h in enumerate(items) if len(h) for a, b in pieces(len(h))]
+        cut.sort(key=lambda x: len(x[2]))
+        self.pad = int(STEPS * max((len(h) for _, _, h in cut), default=1)) + 2
         self.kinds: list[Kind] = []
         at = 0
-        while at < len(order):
-            length = len(items[order[at]])
+        while at < len(cut):
+            length = len(cut[at][2])
             upto = at
-            while upto < len(order) and len(items[order[upto]]) <= max(length, int(length * SPREAD) if length > 1 else 1):
+            while upto < len(cut) and len(cut[upto][2]) <= max(length, int(length * SPREAD) if length > 1 else 1):
                 upto += 1
-            members, at = order[at:upto], upto
-            # of the first pairs of an item, distinct ones, 2 d at most can be gone
-            least = min(len(np.unique(pairs(items[i][:length]))) - 2 * budget(len(items[i]), similarity) for i in members) if length > 1 else 0
-            joined = np.concatenate([np.append(items[i], np.zeros(self.pad, np.uint64)) for i in members])
-            starts = np.append(0, np.cumsum([len(items[i]) + self.pad for i in members])[:-1])
+            members, at = cut[at:upto], upto
+
+            def must(i, h, length=length):
+                # of the first pairs of a piece, distinct ones, 2 of each of its edits at most can be gone
+                return len(np.unique(pairs(h[:length]))) - 2 * (budget(len(items[i]), similarity) * len(h) // len(items[i]))
+
+            least = min(must(i, h) for i, _, h in members) if length > 1 else 0
+            joined = np.concatenate([np.append(h, np.zeros(self.pad, np.uint64)) for _, _, h in members])
+            starts = np.append(0, np.cumsum([len(h) + self.pad for _, _, h in members])[:-1])
+            owner, place = np.array([i for i, _, _ in members]), np.array([a for _, a, _ in members])
             keys = []
             for r in range(repeats):
                 k = sampled_walk(joined, starts, length, r, sampled)
                 by = np.argsort(k, kind="stable")
-                keys.append((k[by], np.array(members)[by]))
-            self.kinds.append(Kind(length, members, least, keys))
+                keys.append((k[by], owner[by], place[by]))
+            self.kinds.append(Kind(length, least, keys))
 
     def starts(self, h: np.ndarray, kind: Kind, known: np.ndarray) -> np.ndarray:
         """Starts of the windows that can match; ``known``: running sums of known distinct pairs."""
@@ -185,15 +201,16 @@ class Index:
                 if not out:
                     continue
                 places = np.concatenate(out)
-                keys, owner = kind.keys[r]
+                keys, owner, place = kind.keys[r]
                 for at in range(0, len(places), 1 << 18):
                     s = places[at : at + (1 << 18)]
                     k = sampled_walk(joined, s, kind.length, r, self.sampled, bits)
                     lo, hi = np.searchsorted(keys, k, "left"), np.searchsorted(keys, k, "right")
                     for j in np.flatnonzero(hi > lo).tolist():
                         text = int(np.searchsorted(base, s[j], "right")) - 1
-                        for i in owner[lo[j] : hi[j]].tolist():
-                            candidates.setdefault((text, i), set()).add(int(s[j]) - bases[text])
+                        for i, p in zip(owner[lo[j] : hi[j]].tolist(), place[lo[j] : hi[j]].tolist(), strict=True):
+                            # where the item would begin; a piece can stand earlier by as much as is missing before it
+                            candidates.setdefault((text, i), set()).add(max(0, int(s[j]) - bases[text] - p))
         for (text, i), places in candidates.items():
             h, item = texts[numbers[text]], self.items[i]
             edits, best, upto = budget(len(item), self.similarity), None, -1
@@ -201,7 +218,7 @@ class Index:
                 if s < upto:  # already inside the stretch that was compared
                     continue
                 lo, upto = max(0, s - edits), s + len(item)
-                d, first, last = infix_distance(item, h[lo : upto + len(item) + edits])
+                d, first, last = infix_distance(item, h[lo : upto + len(item) + 2 * edits])
                 if d <= edits and (best is None or d < best[3]):
                     best = (i, lo + first, lo + last, d)
             if best:
@@ -224,18 +241,16 @@ def blocks(benchmark: DataFrame, most: int = BLOCK):
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, repeats: int = REPEATS, sampled: int = SAMPLED, block: int = BLOCK) -> DataFrame:
-    """A row for each document and item that it holds: the document's ``doc_id`` and ``uid`` (its
-    place in the table), item_id, first_word, last_word, distance and similarity."""
+    """A row for each document and item that it holds: doc_id, item_id, first_word, last_word, distance
+    and similarity."""
     spark = docs.sparkSession
-    slim = pick(docs, "doc_id", "text").withColumn("uid", F.monotonically_increasing_id()).select("uid", "doc_id", "text")
+    slim = pick(docs, "doc_id", "text")
     doc, item = slim.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-    kinds = f"uid long, doc_id {doc}, item_id {item}, first_word long, last_word long, distance long, similarity double"
+    kinds = f"doc_id {doc}, item_id {item}, first_word long, last_word long, distance long, similarity double"
     schema = to_arrow_schema(StructType.fromDDL(kinds))
-    parts = []
-    for ids, items in blocks(benchmark, block):
-        shared = spark.sparkContext.broadcast((ids, items))
 
-        def find(batches, shared=shared):
+    def found(shared):
+        def find(batches):
             import pyarrow as pa
 
             index = Index(*shared.value, similarity, repeats, sampled)
@@ -244,23 +259,71 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
                 texts = texts_of(batch)
                 for at in range(0, len(texts), 1000):
                     for j, i, first, last, d in index.matches([word_hashes(words(t)) for t in texts[at : at + 1000]]):
-                        uid, doc_id = batch.column(0)[at + j].as_py(), batch.column(1)[at + j].as_py()
-                        rows.append(dict(zip(schema.names, (uid, doc_id, index.ids[i], first, last - 1, d, 1 - d / len(index.items[i])), strict=True)))
+                        rows.append(dict(zip(schema.names, (batch.column(0)[at + j].as_py(), index.ids[i], first, last - 1, d, 1 - d / len(index.items[i])), strict=True)))
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-        parts.append(slim.mapInArrow(find, kinds))
-    out = spark.createDataFrame([], kinds)
-    for p in parts:
-        out = out.unionByName(p)
+        return slim.mapInArrow(find, kinds)
+
+    out = None
+    for shared, part in _passes(spark, benchmark, block, found):
+        if part is None:
+            return out if out is not None else spark.createDataFrame([], kinds)
+        if shared is not None:  # more blocks follow: this one's rows are written and its items released
+            part = written(part, "leaks")
+            shared.destroy()
+        out = part if out is None else out.unionByName(part)
     return out
 
 
+def _passes(spark: SparkSession, benchmark: DataFrame, block: int, use):
+    """(broadcast, ``use`` of it) for each block of items but the last, which comes as (None, ``use`` of
+    it) as its broadcast has to stay; (None, None) if there is no item."""
+    held = None
+    for one in blocks(benchmark, block):
+        if held is not None:
+            shared = spark.sparkContext.broadcast(held)
+            yield shared, use(shared)
+        held = one
+    yield None, None if held is None else use(spark.sparkContext.broadcast(held))
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("uid")
+    return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The rows of ``docs`` that hold no item. Each row is judged by its text alone, so nothing is joined
+    back; with several blocks of items each pass reads what the one before has left."""
 
+    def holds(shared):
+        made: list[Index] = []  # one for each worker
+
+        @F.arrow_udf("boolean")
+        def of(text):
+            import pyarrow as pa
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no item."""
-    found = written(leaks(docs, benchmark).select("uid").distinct(), "leaks")
-    return keep_rows(docs, lambda plain, old: plain.withColumn("uid", F.monotonically_increasing_id()).join(found, "uid", "left_anti"))
+            if not made:
+                made.append(Index(*shared.value))
+            index, out = made[0], np.zeros(len(text), bool)
+            texts = [t or b"" for t in text.cast(pa.binary()).to_pylist()]
+            for at in range(0, len(texts), 1000):
+                for j, *_ in index.matches([word_hashes(words(t)) for t in texts[at : at + 1000]]):
+                    out[at + j] = True
+            return pa.array(out)
+
+        return of
+
+    left, last = docs, None
+    for shared, flag in _passes(docs.sparkSession, benchmark, block, holds):
+        if flag is None:
+            return left
+        kept = keep_rows(left, lambda plain, old, flag=flag: plain.where(~flag(old("text"))))
+        if shared is not None:
+            kept = written(kept, "clean")
+            shared.destroy()
+            if last is not None:
+                discard(last)
+            last = kept
+        left = kept
+    return left
