@@ -104,9 +104,9 @@ def identified(df: DataFrame, doc_id: Column, text: Column) -> DataFrame:
 
 
 def one_of_equals(df: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``df`` that ``kept`` (uid, rid, copies) names, one of each: of rows with equal id and
+    """The rows of ``df`` that the table ``kept`` (uid, rid, copies) names, one of each: of rows with equal id and
     text the one with the least hash of all its columns, found with map-side minima."""
-    keys, kept = ["uid", "rid"], written(kept, "kept")
+    keys = ["uid", "rid"]
     single = df.join(kept.where("copies = 1").select(*keys), keys, "left_semi")
     several = kept.where("copies > 1")
     if not several.head(1):

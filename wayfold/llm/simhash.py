@@ -170,6 +170,6 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         order = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid", "rid")).alias("first")
         firsts = rows.groupBy("fp").agg(order).join(grouped(rows), "fp").groupBy("root").agg(F.min("first").alias("first"))
         repeats = rows.groupBy("uid", "rid").agg(F.count("*").alias("copies"))
-        return one_of_equals(numbered, firsts.select("first.uid", "first.rid").join(repeats, ["uid", "rid"]))
+        return one_of_equals(numbered, written(firsts.select("first.uid", "first.rid").join(repeats, ["uid", "rid"]), "kept"))
 
     return keep_rows(docs, decide)
