@@ -83,6 +83,14 @@ def pairs(h: np.ndarray) -> np.ndarray:
         return mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
 
 
+def lacking(item: np.ndarray, text: np.ndarray) -> int:
+    """How many of ``item`` are nowhere in ``text``."""
+    if not len(text):
+        return len(item)
+    ordered = np.sort(text)
+    return int((ordered[np.minimum(np.searchsorted(ordered, item), len(ordered) - 1)] != item).sum())
+
+
 def infix_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     """The least edit distance of ``item`` to a stretch of ``text``, and its first and last place + 1."""
     m = len(text)
@@ -218,7 +226,11 @@ class Index:
                 if s < upto:  # already inside the stretch that was compared
                     continue
                 lo, upto = max(0, s - edits), s + len(item)
-                d, first, last = infix_distance(item, h[lo : upto + len(item) + 2 * edits])
+                stretch = h[lo : upto + len(item) + 2 * edits]
+                # an edit is needed for each word that the stretch lacks, and one for two pairs of words
+                if lacking(item, stretch) > edits or lacking(pairs(item), pairs(stretch)) > 2 * edits:
+                    continue
+                d, first, last = infix_distance(item, stretch)
                 if d <= edits and (best is None or d < best[3]):
                     best = (i, lo + first, lo + last, d)
             if best:
