@@ -167,6 +167,28 @@ def test_op3_finds_shifted_template(spark):
     assert row.labels == "mit" and row.base_labels == "" and 0.8 <= row.score <= 1
 
 
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("Code is licensed under the GNU General Public License, version 3.", "gpl,gpl-3.0"),
+        ("Code is licensed under the GNU General Public License, version 2 or later.", "gpl,gpl-2.0"),
+        ("under the GNU General Public License, version", "gpl"),
+        ("x licensed under the licensed under the MIT license", "mit"),
+        ("licensed under CC BY-NC 4.0", "cc-by,cc-by-nc-4.0"),
+        ("licensed under CC BY 4.0", "cc-by,cc-by-4.0"),
+        ("Licensed under the Apache License, Version 1.1", "apache"),
+        ("licensed under CC BY 4.0. Much later: released under the MIT license", "cc-by,cc-by-4.0,mit"),
+        (licenses.TEMPLATES[5][3], "mit"),
+        (licenses.TEMPLATES[9][3], "gpl,gpl-2.0"),
+        (licenses.TEMPLATES[10][3].replace("redistribute it and/or modify", "pass on"), "gpl,gpl-3.0"),
+        (licenses.TEMPLATES[8][3].replace("GNU General", "GNU Lesser General"), "lgpl"),
+        ("no licence here", ""),
+    ],
+)
+def test_op3_labels_by_hand(spark, text, labels):
+    assert licenses.scanned(frame(spark, [(1, text, "", "", 0)])).first().labels == labels
+
+
 def test_op4_targets_equal_repeated_sharing(spark):
     rng = random.Random(9)
     for _ in range(4):
