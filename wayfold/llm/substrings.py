@@ -5,20 +5,22 @@ smallest hash of ``prefix`` words stands, the leftmost of equals. Equal windows
 at the same offset, so the suffixes that begin at anchors are enough, and a suffix brings along
 the words before it that its windows begin with (its context).
 
-1. Anchors are counted by prefix; a prefix that occurs once has no internal node and is left.
-2. Equal contexts become one with a count, so thousands of copies cost what one costs.
-3. Contexts are grouped by prefix. Groups larger than ``GROUP`` contexts take the longest prefix
-   instead, the whole window, where a group is a count; so no task holds more than ``GROUP``.
-4. Each group's suffixes are sorted, with the lengths of their common prefixes: the suffix tree
+1. Anchors are written once. Equal contexts become one with a count, so thousands of copies cost
+   what one costs; a prefix that occurs once has no internal node and is left.
+2. Contexts are grouped by prefix. Groups larger than ``GROUP`` contexts are split by longer
+   prefixes: their windows, told apart by the anchor's offset and read outward from the anchor,
+   take ``STEP`` words more at a time until a group fits, at last the whole window, where a group
+   is a count; so no task holds more than ``GROUP`` of one group.
+3. Each group's suffixes are sorted, with the lengths of their common prefixes: the suffix tree
    of the group as arrays, and one of the reversed words before the anchors. A window repeats if
    the node of its forward part and the node of its backward part share two occurrences or more:
    an internal node of the window's depth.
-5. Repeated windows go back to their documents, which drop the words that they cover.
+4. Repeated windows go back to their documents, which drop the words that they cover.
 
-Trees compare 32-bit hashes of words (35 in a row; a false repeat needs windows that are equal but
-for words whose hashes collide). Null and short texts have no window; several rows with one
+Trees compare 64-bit hashes of words. Null and short texts have no window; several rows with one
 id are judged each on its own text; a repeat inside a document counts; empty tables give empty
-results. ``docs`` must be a table that reads the same each time (files, or local rows).
+results. Texts are numbered once, in a written table of packed texts that all else reads, so the
+result does not depend on how ``docs`` is split when it is read.
 """
 
 from __future__ import annotations
@@ -27,11 +29,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import mix, pick, read, texts_of, word_hashes, written
+from wayfold.llm.common import discard, keyed_join, mix, pick, read, texts_of, word_hashes, written
 
 WINDOW, PREFIX = 35, 8
 #: Contexts of one prefix that a task holds at once.
 GROUP = 1 << 15
+#: Words by which the prefixes of groups that do not fit become longer.
+STEP = 6
 #: Contexts whose trees are built together.
 CHUNK = 1 << 17
 
@@ -68,22 +72,24 @@ def anchors(h: np.ndarray, window: int = WINDOW, prefix: int = PREFIX):
     return p, first, last, grams[p], context
 
 
-def _places(docs: DataFrame, window: int, prefix: int) -> DataFrame:
+def _places(packed: DataFrame, window: int, prefix: int) -> DataFrame:
     """uid, at, key, ctx: the anchors of all texts; at packs place, words before it, windows."""
 
     def find(batches):
         import pyarrow as pa
+        import zstandard
 
+        press = zstandard.ZstdDecompressor()
         for batch in batches:
             uids, out = batch.column(0).to_numpy(), [[], [], [], []]
-            for uid, text in zip(uids, texts_of(batch), strict=True):
-                p, first, last, key, ctx = anchors(word_hashes(text.split()), window, prefix)
+            for uid, text in zip(uids, batch.column(1).to_pylist(), strict=True):
+                p, first, last, key, ctx = anchors(word_hashes(press.decompress(text).split()), window, prefix)
                 for column, values in zip(out, (np.full(len(p), uid), p << 20 | (p - first) << 10 | (last - first), key.view(np.int64), ctx.view(np.int64)), strict=True):
                     column.append(values)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["uid", "at", "key", "ctx"])
 
-    return docs.select("uid", "text").mapInArrow(find, "uid long, at long, key long, ctx long")
+    return packed.select("uid", "packed").mapInArrow(find, "uid long, at long, key long, ctx long")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -102,7 +108,7 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 def _contexts(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     """The words of the contexts ``wanted`` (uid, at, key, ctx, n, crowded): rows of key, ctx, n,
-    before, windows, words; for crowded prefixes a row per window instead, with its hash."""
+    before, windows, words, crowded."""
 
     def cut(batches):
         import pyarrow as pa
@@ -115,12 +121,8 @@ def _contexts(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
                 h = word_hashes(press.decompress(packed).split())
                 for w in list_:
                     p, before, windows = w["at"] >> 20, w["at"] >> 10 & 1023, w["at"] & 1023
-                    words = (h[p - before : p - before + windows + window] >> np.uint64(32)).astype(">u4")
-                    if w["crowded"]:
-                        for i in range(windows + 1):
-                            rows.append((w["key"], w["ctx"], w["n"], i, 0, words[i : i + window].tobytes(), True))
-                    else:
-                        rows.append((w["key"], w["ctx"], w["n"], before, windows, words.tobytes(), False))
+                    words = h[p - before : p - before + windows + window].astype(">u8")
+                    rows.append((w["key"], w["ctx"], w["n"], before, windows, words.tobytes(), w["crowded"]))
             if rows:
                 c = list(zip(*rows, strict=True))
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()]
@@ -137,19 +139,19 @@ def repeated(key: np.ndarray, n: np.ndarray, before: np.ndarray, windows: np.nda
     rows, most = len(key), int(before.max()) if len(key) else 0
     if not rows:
         return np.zeros(0, np.int64)
-    lengths = np.fromiter(map(len, words), np.int64, rows) // 4
-    flat, starts = np.frombuffer(b"".join(words), ">u4"), np.append(0, np.cumsum(lengths)[:-1])
+    lengths = np.fromiter(map(len, words), np.int64, rows) // 8
+    flat, starts = np.frombuffer(b"".join(words), ">u8"), np.append(0, np.cumsum(lengths)[:-1])
     group = np.unique(key, return_inverse=True)[1]
 
     def tree(depth: int, step: int):
         """Node number of each row's path at every depth; words beyond a context read as 0."""
-        table = np.zeros((rows, depth + 1), ">u4")
+        table = np.zeros((rows, depth + 1), ">u8")
         table[:, 0] = group
         for d in range(depth):
             place = before + d if step > 0 else before - 1 - d
             inside = (place >= 0) & (place < lengths)
             table[inside, d + 1] = flat[starts[inside] + place[inside]]
-        order = np.argsort(np.ascontiguousarray(table).view(np.dtype((np.void, 4 * (depth + 1)))).ravel(), kind="stable")
+        order = np.argsort(np.ascontiguousarray(table).view(np.dtype((np.void, 8 * (depth + 1)))).ravel(), kind="stable")
         ordered = table[order]
         differ = ordered[1:] != ordered[:-1]
         common = np.where(differ.any(1), differ.argmax(1), depth + 1)  # columns that adjacent suffixes share
@@ -171,21 +173,22 @@ def repeated(key: np.ndarray, n: np.ndarray, before: np.ndarray, windows: np.nda
     return out
 
 
-def _flags(contexts: DataFrame, window: int) -> DataFrame:
-    """key, ctx, bits: the repeated windows of contexts."""
+def _trees(contexts: DataFrame, window: int) -> DataFrame:
+    """key, ctx, i, bits: the repeated windows of contexts (group, key, ctx, at, n, before, windows, words) by
+    the trees of their groups; ``i`` is ``at``, the place of a context's first window."""
 
     def build(batches):
         import pyarrow as pa
 
         def done(parts):
-            key, ctx, n, before, windows = (np.concatenate([p.column(i).to_numpy() for p in parts]) for i in range(5))
-            words = [w for p in parts for w in p.column(5).to_pylist()]
-            bits = repeated(key, n, before.astype(np.int64), windows.astype(np.int64), words, window)
+            group, key, ctx, at, n, before, windows = (np.concatenate([p.column(i).to_numpy() for p in parts]) for i in range(7))
+            words = [w for p in parts for w in p.column(7).to_pylist()]
+            bits = repeated(group, n, before.astype(np.int64), windows.astype(np.int64), words, window)
             has = bits != 0
-            return pa.RecordBatch.from_arrays([pa.array(x[has]) for x in (key, ctx, bits)], names=["key", "ctx", "bits"])
+            return pa.RecordBatch.from_arrays([pa.array(x[has]) for x in (key, ctx, at, bits)], names=["key", "ctx", "i", "bits"])
 
         held, rows = [], 0
-        for batch in batches:  # sorted by key: whole groups are cut off as soon as there are enough rows
+        for batch in batches:  # sorted by group: whole ones are cut off as soon as there are enough rows
             held.append(batch)
             rows += len(batch)
             if rows >= CHUNK:
@@ -198,12 +201,59 @@ def _flags(contexts: DataFrame, window: int) -> DataFrame:
         if rows:
             yield done([b for b in held if len(b)])
 
-    small = contexts.where("NOT crowded").select("key", "ctx", "n", "before", "windows", "words")
-    trees = small.repartition("key").sortWithinPartitions("key").mapInArrow(build, "key long, ctx long, bits long")
-    large = contexts.where("crowded")
-    twice = large.groupBy("words").agg(F.sum("n").alias("all")).where("all >= 2").select("words")
-    counted = large.join(twice, "words").groupBy("key", "ctx").agg(F.bit_or(F.expr("shiftleft(1L, before)")).alias("bits"))
-    return trees.unionByName(counted)
+    wanted = contexts.select("group", "key", "ctx", "at", "n", "before", "windows", "words")
+    return wanted.repartition("group").sortWithinPartitions("group").mapInArrow(build, "key long, ctx long, i int, bits long")
+
+
+def _outward(contexts: DataFrame, window: int) -> DataFrame:
+    """A row for each window of crowded contexts: key, ctx, at (its number in the context), n, before, words
+    and path, its words from the anchor to its end and then from the anchor to its beginning."""
+
+    def cut(batches):
+        import pyarrow as pa
+
+        names = ["key", "ctx", "at", "n", "before", "words", "path"]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+        for batch in batches:
+            rows = []
+            for key, ctx, n, before, windows, words in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                h = np.frombuffer(words, ">u8")
+                for i in range(windows + 1):
+                    w, at = h[i : i + window], before - i
+                    rows.append((key, ctx, i, n, at, w.tobytes(), np.concatenate([w[at:], w[:at][::-1]]).tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    wanted = contexts.select("key", "ctx", "n", "before", "windows", "words")
+    return wanted.mapInArrow(cut, "key long, ctx long, at int, n long, before int, words binary, path binary")
+
+
+def _flags(contexts: DataFrame, window: int, prefix: int, group: int) -> DataFrame:
+    """key, ctx, bits: the repeated windows of contexts."""
+    parts = [_trees(contexts.where("NOT crowded").withColumns({"group": F.col("key"), "at": F.lit(0)}), window)]
+    rows, length = contexts.where("crowded"), prefix
+    if rows.head(1):
+        rows = written(_outward(rows, window), "windows")
+        while True:
+            length = min(length + STEP, window)
+            rows = rows.withColumn("group", F.xxhash64("key", "before", F.substring("path", 1, 8 * length)))
+            if length == window:  # a group is one window, which repeats if it stands twice
+                twice = rows.groupBy("group").agg(F.sum("n").alias("all")).where("all > 1").select("group")
+                sizes = rows.groupBy("group").agg(F.count("*").alias("n"))
+                found = keyed_join(rows, twice, ["group"], sizes, "left_semi")
+                parts.append(found.select("key", "ctx", F.col("at").alias("i"), F.lit(1).cast("long").alias("bits")))
+                break
+            sizes = written(rows.groupBy("group").agg(F.count("*").alias("m"), F.sum("n").alias("all")).where("all > 1"), "sizes")
+            fits = sizes.where(F.col("m") <= group).select("group")
+            parts.append(_trees(rows.join(fits, "group", "left_semi").withColumn("windows", F.lit(0)), window))
+            crowded = sizes.where(F.col("m") > group)
+            if not crowded.head(1):
+                break
+            rows = written(keyed_join(rows, crowded.select("group"), ["group"], crowded.select("group", F.col("m").alias("n")), "left_semi").drop("group"), "windows")
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return every.groupBy("key", "ctx").agg(F.bit_or(F.expr("shiftleft(bits, i)")).alias("bits"))
 
 
 def _strip(joined: DataFrame, kind: str, window: int) -> DataFrame:
@@ -240,17 +290,18 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, gr
     if not 0 < prefix <= window < prefix + 62:
         raise ValueError("the windows of an anchor must fit a 62-bit mask: prefix <= window < prefix + 62")
     numbered = pick(docs, "doc_id", "text").withColumn("uid", F.monotonically_increasing_id())
-    places = _places(numbered, window, prefix)
-    again = places.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    found = written(places.join(again, "key").select("uid", "at", "key", "ctx"), "anchors")
-    distinct = found.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("uid", "at")).alias("one"))
-    crowds = found.groupBy("key", "ctx").agg(F.lit(1).alias("x")).groupBy("key").agg(F.count("*").alias("m"))
-    crowds = written(crowds.where(F.col("m") > group).select("key", F.lit(True).alias("c")), "crowds")
-    marked = distinct.join(crowds, "key", "left").select("one.uid", "one.at", "key", "ctx", "n", F.coalesce("c", F.lit(False)).alias("crowded"))
-    packed = _packed(numbered)
+    packed = written(_packed(numbered), "packed")
+    places = written(_places(packed, window, prefix), "anchors")
+    distinct = written(places.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("uid", "at")).alias("one")), "distinct")
+    keys = written(distinct.groupBy("key").agg(F.sum("n").alias("all"), F.count("*").alias("n")).where("all > 1"), "prefixes")
+    again = keys.select("key", (F.col("n") > group).alias("crowded"))
+    marked = keyed_join(distinct, again, ["key"], keys.select("key", "n")).select("one.uid", "one.at", "key", "ctx", "n", "crowded")
     contexts = written(_contexts(packed, marked, window), "contexts")
-    flags = written(_flags(contexts, window), "flags")
-    back = found.join(flags, ["key", "ctx"]).groupBy(F.col("uid").alias("u")).agg(F.collect_list(F.struct("at", "bits")).alias("flags"))
+    flags = written(_flags(contexts, window, prefix, group), "flags")
+    discard(contexts)
+    sizes = distinct.join(flags, ["key", "ctx"], "left_semi").select("key", "ctx", "n")
+    hits = keyed_join(places, flags, ["key", "ctx"], sizes)
+    back = hits.groupBy(F.col("uid").alias("u")).agg(F.collect_list(F.struct("at", "bits")).alias("flags"))
     kind = numbered.schema["doc_id"].dataType.simpleString()
     return _strip(packed.join(back, F.col("uid") == F.col("u"), "left"), kind, window)
 
