@@ -7,8 +7,8 @@ length. Reading parses archives by content length, groups continuation records b
 orders them by segment number, verifies the total length and decodes the chunks.
 
 Of pages with equal payloads of ``REVISIT_FROM`` bytes or more, the one with the largest page_id is
-the response and the others revisit it. Archives are files in the shared folder, of bounded
-size. Null html is an empty payload; rows with equal ids are records of their own (the response
+the response and the others revisit it. Archives are gzipped files in the shared folder, of bounded
+size. Pages are numbered once, in a written table. Null html is an empty payload; rows with equal ids are records of their own (the response
 among equal ids is one of them); a null id loses ties to any other; an empty table writes no
 record. A record that lacks a segment or whose length is wrong raises.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfold.llm.common import new_path, pick, read, written
+from wayfold.llm.common import discard, keyed_join, new_path, pick, read, written
 
 #: Payloads from this size on are not written twice.
 REVISIT_FROM = 1000
@@ -97,15 +97,18 @@ def parsed(archive: bytes):
 def write_archives(pages: DataFrame, segment: int = SEGMENT, chunk: int = CHUNK, per_file: int = PER_FILE) -> str:
     """Archives of page_id, url, html; returns their folder. Record ids are urn:page:<id>:<row>."""
     spark = pages.sparkSession
-    rows = pick(pages, "page_id", "url", "html").withColumn("uid", F.monotonically_increasing_id())
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    slim = written(rows.select("uid", "page_id", F.length(payload).cast("long").alias("n"), F.sha1(payload).alias("sha1")), "pages")
+    numbered = pick(pages, "page_id", "url", "html").select("page_id", "url", payload.alias("payload"), F.monotonically_increasing_id().alias("uid"))
+    rows = written(numbered.withColumns({"size": F.length("payload").cast("long"), "sha1": F.sha1("payload")}), "pages")
     # one row per payload leaves a task, however many copies it has
     best = F.max(F.struct(F.col("page_id").isNotNull().alias("known"), "page_id", "uid")).alias("best")
-    first = slim.where(F.col("n") >= REVISIT_FROM).groupBy("sha1", "n").agg(best, F.count("*").alias("copies")).where("copies > 1")
-    more = slim.join(first, ["sha1", "n"]).where(F.col("uid") != F.col("best.uid")).select("uid", F.col("best.uid").alias("of"), F.col("best.page_id").alias("of_page"))
-    linked = written(more, "revisits")
-    plan = rows.join(linked, "uid", "left").select("uid", "page_id", "url", payload.alias("payload"), F.sha1(payload).alias("sha1"), "of", "of_page")
+    keys = ["sha1", "size"]
+    slim = rows.where(F.col("size") >= REVISIT_FROM).select("uid", "page_id", *keys)
+    groups = written(slim.groupBy(*keys).agg(best, F.count("*").alias("n")).where("n > 1"), "copies")
+    linked = keyed_join(slim.drop("page_id"), groups.drop("n"), keys, groups.select(*keys, "n")).where(F.col("uid") != F.col("best.uid"))
+    linked = written(linked.select("uid", F.col("best.uid").alias("of"), F.col("best.page_id").alias("of_page")), "revisits")
+    # a revisit holds no payload, so only first copies are moved whole
+    plan = rows.join(linked, "uid", "left")
 
     def write(batches):
         import pyarrow as pa
@@ -121,8 +124,9 @@ def write_archives(pages: DataFrame, segment: int = SEGMENT, chunk: int = CHUNK,
 
     path = new_path(spark, "warc")
     # a record's end is the writer's line end; a record itself is bytes that the text writer leaves alone
-    lines = plan.mapInArrow(write, "value binary").select(F.col("value").cast("string").alias("value"))
-    lines.write.option("lineSep", END.decode()).option("maxRecordsPerFile", per_file).text(path)
+    lines = plan.select("uid", "page_id", "url", "payload", "sha1", "of", "of_page").mapInArrow(write, "value binary").select(F.col("value").cast("string").alias("value"))
+    lines.write.option("lineSep", END.decode()).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
+    discard(rows, groups, linked)
     return path
 
 
@@ -132,13 +136,15 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     kinds = T.StructType.fromDDL("record_id string, record_type string, refers_to string, digest string, length long, origin string, segment int, total long, block binary")
 
     def parse(batches):
+        import gzip
+
         import pyarrow as pa
 
         names = [f.name for f in kinds]
         for batch in batches:
             for archive in batch.column(0).to_pylist():
                 rows = []
-                for fields, block in parsed(archive):
+                for fields, block in parsed(gzip.decompress(archive) if archive[:2] == b"\x1f\x8b" else archive):
                     number = int(fields.get("warc-segment-number", 0))
                     bare = lambda k: fields[k].strip("<>") if k in fields else None  # noqa: B023, E731
                     rid, length = bare("warc-record-id"), fields.get("x-payload-length")
@@ -161,7 +167,13 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         F.max("total").alias("total"),
         F.max(F.when(F.col("segment") == 1, F.struct("record_type", "refers_to", "digest", "length"))).alias("h"),
     )
-    whole = parts.select("origin", "h", "total", F.expr("parts.segment").alias("numbers"), F.expr("aggregate(parts.block, X'', (a, p) -> concat(a, p))").alias("block"))
+    @F.arrow_udf("binary")
+    def joined_blocks(blocks):
+        import pyarrow as pa
+
+        return pa.array([b"".join(x) for x in blocks.to_pylist()], pa.binary())
+
+    whole = parts.select("origin", "h", "total", F.expr("parts.segment").alias("numbers"), joined_blocks(F.expr("parts.block")).alias("block"))
     complete = (F.col("numbers") == F.sequence(F.lit(1), F.size("numbers"))) & F.col("h").isNotNull() & (F.length("block") == F.col("total"))
     checked = F.when(F.coalesce(complete, F.lit(False)), F.col("block")).otherwise(F.raise_error(F.concat(F.lit("segments missing of "), F.col("origin"))).cast("binary"))
     joined = whole.select(F.col("origin").alias("record_id"), "h.record_type", "h.refers_to", "h.digest", "h.length", checked.alias("block"))
