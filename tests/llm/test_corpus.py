@@ -333,6 +333,52 @@ def test_op10_bands_reject_labelled_junk(spark):
     assert rejected[0] > 0.25 and rejected[1] < 0.01
 
 
+def test_op10_model_as_a_table_gives_the_same(spark):
+    rows = corpus()
+    arrays, table = ({r.doc_id: r for r in quality_rules.judged(frame(spark, rows), n).collect()} for n in (quality_rules.ENTRIES, 0))
+    for i, r in arrays.items():
+        assert r.log_perplexity == pytest.approx(table[i].log_perplexity) and r.kept == table[i].kept
+
+
+def test_op10_kept_equals_brute_force(spark):
+    """Kept, bands and discounts again, in plain Python, from the texts."""
+    rows = corpus()
+    count, names = [collections.Counter() for _ in range(3)], {}
+    for i, t, *_ in rows:
+        x = [None, None, *" ".join(split(t)), "end"]
+        names[i] = [tuple(x[j - 2 : j + 1]) for j in range(2, len(x))]
+        count[2].update(names[i])
+    for n in (1, 0):
+        count[n].update(k[1:] for k in count[n + 1])
+    d, of_context, lost = [], [], []
+    for n in range(3):
+        m = [sum(v == j for v in count[n].values()) for j in range(1, 5)]
+        y = m[0] / (m[0] + 2 * m[1])
+        d.append([min(max(j - (j + 1) * y * m[j] / m[j - 1] if m[j - 1] else 0.9, 0.05), j - 0.05) for j in (1, 2, 3)] if m[0] and m[1] else [0.5, 0.75, 0.9])
+        a, b = collections.Counter(), collections.Counter()
+        for k, v in count[n].items():
+            a[k[:-1]] += v
+            b[k[:-1]] += min(v, d[n][min(v, 3) - 1])
+        of_context.append(a)
+        lost.append(b)
+
+    def p(k):
+        if not k:
+            return 1 / (1 << 21)
+        n = len(k) - 1
+        c, v = k[:-1], count[n][k]
+        return (v - min(v, d[n][min(v, 3) - 1])) / of_context[n][c] + lost[n][c] / of_context[n][c] * p(k[1:])
+
+    want = {i: -float(np.mean([np.log10(p(k)) for k in g])) for i, g in names.items()}
+    got = {r.doc_id: r for r in quality_rules.judged(frame(spark, rows)).collect()}
+    assert {i: r.log_perplexity for i, r in got.items()} == pytest.approx(want)
+    for i, t, *_ in rows:
+        r = got[i]
+        assert r.base_failed == (len(split(t)) < 50 or 100 * r.n_repeat_words > 50 * len(split(t)))
+        assert r.kept == (not r.base_failed and r.lower <= want[i] <= r.upper)
+    assert {r.kept for r in got.values() if not r.base_failed} == {True}
+
+
 def test_op10_bands_without_spread(spark):
     rows = spark.createDataFrame([("x", 1.0)] * 9 + [("y", 1.0 + i / 100) for i in range(9)], "lang string, log_perplexity double")
     got = {r.lang: r for r in quality_rules.bands(rows).collect()}

@@ -4,8 +4,9 @@ The model is a modified Kneser-Ney model of character 3-grams. Spark counts the
 documents (each task sums its own before the shuffle); continuation counts, the three discounts
 of each order and the normalisers follow from the counts with group-bys. A character is a 21-bit
 code point, so an n-gram is one integer and the model is sorted integer arrays that a binary
-search reads. N-grams rarer than one in ``ENTRIES`` characters are left to the lower order, which
-bounds the arrays by ``ENTRIES`` whatever the corpus is.
+search reads. No n-gram is left out: a model of more than ``ENTRIES`` 3-grams, too large for arrays
+in every task, stays a table, to which the n-grams of the documents are joined; the results are the
+same.
 
 A text's perplexity is that of a character. For each language, the median and the median absolute
 deviation of its logarithm over all documents give a lower and an upper bound; documents beyond
@@ -23,9 +24,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wayfold.llm.common import pick, read, texts_of, written
+from wayfold.llm.common import keyed_join, pick, read, texts_of, written
 
-#: N-grams of each order that the arrays hold, at most.
+#: 3-grams up to which the model is arrays in every task, and beyond which it is a table.
 ENTRIES = 1 << 21
 #: How many median deviations a log perplexity may lie below or above the median of its language:
 #: chosen by the labels of sf0.1, to reject junk while less than 1 % of clean documents go.
@@ -121,33 +122,49 @@ def _discounts(counts: DataFrame) -> tuple[float, float, float]:
     return tuple(min(max(x, 0.05), i - 0.05) for i, x in enumerate(d, 1))
 
 
-def model(counts: DataFrame, entries: int = ENTRIES) -> KneserNey:
-    """From gram, n of order 3. The lower orders count in how many contexts an n-gram occurs."""
-    gram_sets, shares, contexts, back = [], [], [], []
-    level, floor = counts, 1e-7
+def levels(counts: DataFrame) -> tuple[list[tuple[DataFrame, DataFrame]], float]:
+    """For orders 3, 2 and 1 the tables (gram, share) and (context, back), and the floor, from gram, n of
+    order 3. The lower orders count in how many contexts an n-gram occurs."""
+    tables, level, floor = [], counts, 1e-7
     for order in (3, 2, 1):
         d = _discounts(level)
-        total = level.agg(F.sum("n")).head()[0] or 0
-        discount = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-        kept = F.col("n") * F.lit(entries) >= F.lit(total)
+        discount = F.least(F.col("n").cast("double"), F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2]))
         context = F.shiftright("gram", POINT) if order > 1 else F.lit(0).cast("long")
-        # what n-grams of a context lose, and what left-out n-grams lose in full, goes to the order below
-        lost = F.when(kept, F.least(F.col("n").cast("double"), discount)).otherwise(F.col("n").cast("double"))
-        sums = level.groupBy(context.alias("context")).agg(F.sum("n").alias("all"), F.sum(lost).alias("lost"), F.max(kept.cast("int")).alias("any"))
-        held = level.where(kept).withColumn("context", context).join(sums, "context")
-        rows = held.select("gram", ((F.col("n") - F.least(F.col("n").cast("double"), discount)) / F.col("all")).alias("share")).toArrow().sort_by("gram")
-        gram_sets.append(rows.column("gram").to_numpy())
-        shares.append(rows.column("share").to_numpy())
+        # what the n-grams of a context lose goes to the order below
+        sums = written(level.groupBy(context.alias("context")).agg(F.sum("n").alias("all"), F.sum(discount).alias("lost")), "contexts")
+        shares = level.withColumn("context", context).join(sums, "context").select("gram", ((F.col("n") - discount) / F.col("all")).alias("share"))
+        tables.append((shares, sums.select("context", (F.col("lost") / F.col("all")).alias("back"))))
         if order > 1:
-            rows = sums.where("any = 1").select("context", (F.col("lost") / F.col("all")).alias("back")).toArrow().sort_by("context")
-            contexts.append(rows.column("context").to_numpy())
-            back.append(rows.column("back").to_numpy())
             low = (1 << POINT * (order - 1)) - 1
             level = written(level.groupBy(F.col("gram").bitwiseAND(F.lit(low)).alias("gram")).agg(F.count("*").alias("n")), "counts")
         else:
             left = sums.head()
             floor = (left["lost"] / left["all"] if left and left["all"] else 1.0) / (1 << POINT)
-    return KneserNey(tuple(gram_sets), tuple(shares), tuple(contexts), tuple(back), float(floor))
+    return tables, float(floor)
+
+
+def model(counts: DataFrame) -> KneserNey:
+    """As arrays."""
+    tables, floor = levels(counts)
+
+    def arrays(df: DataFrame):
+        rows = df.toArrow().sort_by(df.columns[0])
+        return [rows.column(i).to_numpy() for i in (0, 1)]
+
+    grams, contexts = [arrays(g) for g, _ in tables], [arrays(c) for _, c in tables[:2]]
+    return KneserNey(*(tuple(x[i] for x in part) for part in (grams, contexts) for i in (0, 1)), floor)
+
+
+def log_table(counts: DataFrame) -> DataFrame:
+    """gram, log10 of its last character's probability, for all 3-grams of ``counts``."""
+    tables, floor = levels(counts)
+    p = tables[2][0].select(F.col("gram").alias("last"), (F.col("share") + F.lit(floor)).alias("p"))
+    for order in (2, 3):
+        shares, contexts = tables[3 - order]
+        below = F.col("gram").bitwiseAND(F.lit((1 << POINT * (order - 1)) - 1))
+        rows = shares.withColumns({"last": below, "context": F.shiftright("gram", POINT)}).join(p, "last").join(contexts, "context")
+        p = written(rows.select(F.col("gram").alias("last"), (F.col("share") + F.col("back") * F.col("p")).alias("p")), "probabilities")
+    return p.select(F.col("last").alias("gram"), F.log10("p").alias("log"))
 
 
 def rules(text: bytes) -> tuple[int, int, int, int, int]:
@@ -177,27 +194,36 @@ def rules(text: bytes) -> tuple[int, int, int, int, int]:
     return len(words), points_in_words, chars, twice, repeated
 
 
-def judged(docs: DataFrame) -> DataFrame:
+def judged(docs: DataFrame, entries: int = ENTRIES) -> DataFrame:
     """A row per document: the counts, base_failed, log10 perplexity, and kept."""
-    lm = docs.sparkSession.sparkContext.broadcast(model(written(counted(docs), "counts")))
+    counts = written(counted(docs), "counts")
+    lm = docs.sparkSession.sparkContext.broadcast(model(counts)) if counts.count() <= entries else None
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def measure(batches):
         import pyarrow as pa
 
         for batch in batches:
-            found, perplexity = [], []
+            found, perplexity, held = [], [], []
             for text in texts_of(batch):
                 found.append(rules(text))
-                p = points(text)
-                perplexity.append(-lm.value.log10(grams(p)) / (len(p) - 2) if len(p) else None)
+                g = grams(points(text)) if text.split() else np.zeros(0, np.int64)
+                perplexity.append(-lm.value.log10(g) / len(g) if lm and len(g) else None)
+                held.append(None if lm else [{"gram": k, "n": n} for k, n in zip(*(x.tolist() for x in np.unique(g, return_counts=True)), strict=True)])
             columns = list(map(list, zip(*found, strict=True))) or [[]] * 5
             arrays = [batch.column(0), batch.column(1), *[pa.array(c, pa.int64()) for c in columns], pa.array(perplexity, pa.float64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "lang", *names, "log_perplexity"])
+            arrays.append(pa.array(held, pa.list_(pa.struct([("gram", pa.int64()), ("n", pa.int64())]))))
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "lang", *names, "log_perplexity", "grams"])
 
     slim = pick(docs, "doc_id", "lang", "text")
     kinds = f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, lang {slim.schema['lang'].dataType.simpleString()}"
-    rows = written(slim.mapInArrow(measure, f"{kinds}, {', '.join(f'{n} long' for n in names)}, log_perplexity double"), "rules")
+    measured = slim.mapInArrow(measure, f"{kinds}, {', '.join(f'{n} long' for n in names)}, log_perplexity double, grams array<struct<gram:long,n:long>>")
+    rows = written(measured.withColumn("uid", F.monotonically_increasing_id()), "rules")
+    if lm is None:
+        each = rows.select("uid", F.inline("grams"))
+        found = keyed_join(each, log_table(counts), ["gram"], each.groupBy("gram").agg(F.count("*").alias("n")))
+        sums = found.groupBy(F.col("uid").alias("u")).agg((-F.sum(F.col("n") * F.col("log")) / F.sum("n")).alias("lp"))
+        rows = written(rows.join(sums, F.col("uid") == F.col("u"), "left").withColumn("log_perplexity", F.col("lp")).drop("u", "lp"), "rules")
     limits = bands(rows.where(f"n_words >= {MIN_WORDS}")).withColumnRenamed("lang", "l")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     inside = F.coalesce(F.col("log_perplexity").between(F.col("lower"), F.col("upper")), F.lit(True))
