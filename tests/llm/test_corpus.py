@@ -425,3 +425,131 @@ def test_near_dedup_equals_brute_force(spark):
     docs = frame(spark, [(i, " ".join(t), "en", "s", 0) for i, t in enumerate(texts)])
     got = sorted(r[0] for r in pipeline.near_dedup(spark, docs, SF).select("doc_id").collect())
     assert near > 20 and got == sorted(set(root))
+
+
+def edit_distance_to_infix(item, text):
+    row = [0] * (len(text) + 1)
+    for i, w in enumerate(item, 1):
+        last, row = row, [i]
+        for j, x in enumerate(text, 1):
+            row.append(min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (w != x)))
+    return min(row)
+
+
+@pytest.mark.parametrize("kind", ["change", "insert", "delete"])
+@pytest.mark.parametrize("length", [14, 30, 60, 150])
+def test_op6_recall_at_the_bound(kind, length):
+    """All edits that an item may have, of one kind, in its first half."""
+    rng = random.Random(length)
+    items = [[f"w{rng.randrange(5000)}" for _ in range(length)] for _ in range(40)]
+    index = decontamination.Index(list(range(40)), [word_hashes([w.encode() for w in i]) for i in items])
+    found = 0
+    for n, item in enumerate(items):
+        text = list(item)
+        edits = decontamination.budget(length)
+        for at in sorted(rng.sample(range(max(edits, length // 2)), edits), reverse=True):
+            if kind == "insert":
+                text.insert(at, "new")
+            elif kind == "change":
+                text[at] = "new"
+            else:
+                del text[at]
+        text = [f"f{rng.randrange(5000)}" for _ in range(30)] + text + [f"f{rng.randrange(5000)}" for _ in range(30)]
+        found += n in {m[1] for m in index.matches([word_hashes([w.encode() for w in text])])}
+    assert found >= 39
+
+
+def test_op6_equals_all_pairs_by_edit_distance(spark):
+    rng = random.Random(8)
+    say = lambda k: [f"w{rng.randrange(40)}" for _ in range(k)]
+    items = [say(n) for n in (1, 2, 4, 9, 15, 25, 45, 70)] + [[]]
+    docs = []
+    for n in range(60):
+        text = say(30)
+        item = list(items[n % 8])
+        for at in rng.sample(range(len(item)), min(len(item), rng.randint(0, 1 + len(item) // 4))):
+            item[at] = rng.choice(["x", "y z", ""])
+        docs.append(" ".join([*text[:15], *item, *text[15:]]).split())
+    benchmark = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    want = {(n, i): edit_distance_to_infix(x, t) for n, t in enumerate(docs) for i, x in enumerate(items) if x}
+    want = {k: d for k, d in want.items() if d <= decontamination.budget(len(items[k[1]]))}
+    rows = [(n, " ".join(t), "", "", 0) for n, t in enumerate(docs)]
+    for block in (decontamination.BLOCK, 30):
+        got = {(r.doc_id, r.item_id): r.distance for r in decontamination.leaks(frame(spark, rows), benchmark, block=block).collect()}
+        assert got == want
+    kept = sorted(r[0] for r in decontamination.without_leaks(frame(spark, rows), benchmark, block=30).select("doc_id").collect())
+    assert kept == sorted(set(range(60)) - {n for n, _ in want})
+
+
+def test_op7_fit_solves_the_dual():
+    """Log-count ratios counted by hand, and no change of one dual variable lowers the objective."""
+    rng = np.random.default_rng(1)
+    rows = [np.unique(rng.integers(0, 50, 12)) + 100 * int(y) * (i % 3 > 0) for i, y in enumerate(rng.integers(0, 2, 40))]
+    y = np.array([int(r.max() >= 100) for r in rows])
+    m = quality.fit(rows, y)
+    counts = {s: np.full(1 << quality.BITS, quality.SMOOTH) for s in (0, 1)}
+    for r, label in zip(rows, y, strict=True):
+        counts[label][r] += 1
+    ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+    x = np.zeros((40, 200))
+    for i, r in enumerate(rows):
+        x[i, r] = ratio[r] / len(r) ** 0.5
+    w = np.divide(m.weights[:200], ratio[:200], out=np.zeros(200), where=ratio[:200] != 0)
+    margins = np.where(y > 0, 1, -1) * (x @ w + m.bias)
+    hinge = lambda w, b: 0.5 * (w @ w + b * b) + quality.C * np.maximum(0, 1 - np.where(y > 0, 1, -1) * (x @ w + b)).sum()
+    best = hinge(w, m.bias)
+    assert (margins > 0).all()
+    for _ in range(50):
+        step = rng.normal(size=201) * 0.05
+        assert hinge(w + step[:200], m.bias + step[200]) > best - 0.02 * best
+
+
+def test_op7_on_odd_rows(spark):
+    labels, _ = odd_tables(spark)
+    model = quality.trained(frame(spark, ODD), labels)
+    score = quality.scorer(spark, model)
+    got = frame(spark, ODD, clash=False).select("doc_id", score("text").alias("s")).collect()
+    assert len(got) == len(ODD) and all(0 <= r.s <= 1 for r in got)
+    assert len({r.s for r in got if r.doc_id == 2}) == 1
+
+
+def test_op8_weights_move_rows_only_into_or_out_of_their_subtree(spark):
+    keys = spark.range(4000).select(F.col("id").alias("k"))
+    tree = hash_tree.layout()
+    heavier = hash_tree.Tree(tuple(tuple(tuple((s, 2.0 if s == 5 else w) for s, w in rack) for rack in region) for region in tree.regions))
+    of = lambda t: {r.k: r.s for r in keys.select("k", hash_tree.shard_of(t, F.col("k")).alias("s")).collect()}
+    before, after = of(tree), of(heavier)
+    moved = {(before[k], after[k]) for k in before if before[k] != after[k]}
+    where = {s: (i, j) for i, region in enumerate(tree.regions) for j, rack in enumerate(region) for s, _ in rack}
+    # rows leave for the subtree whose weight grew, and never between other subtrees
+    assert moved and all(b == 5 or where[b][0] == where[5][0] for _, b in moved)
+    share = collections.Counter(before.values())
+    assert all(abs(n - 4000 / 24) < 5 * (4000 / 24) ** 0.5 for n in share.values())
+    assert collections.Counter(after.values())[5] > 1.4 * share[5]
+
+
+def test_results_do_not_depend_on_how_files_are_split(spark, tmp_path):
+    rows = corpus(120) + [(7, "same text", "en", "s1", 1)] * 5
+    frame(spark, rows, clash=False).repartition(16).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = lambda: spark.read.parquet(f"{tmp_path}/documents.parquet")
+    names = {"op1": lambda: substrings.deduplicated(docs()), "near": lambda: near_copies.one_of_each(docs(), 5), "simhash": lambda: simhash.one_of_each(docs()), "mix": lambda: mixing.mix_rows(docs())}
+    try:
+        for name, make in names.items():
+            spark.conf.set("spark.sql.leafNodeDefaultParallelism", 4)
+            df = make()  # part of the work is done here, the rest when it is collected
+            spark.conf.set("spark.sql.leafNodeDefaultParallelism", 3)
+            got = sorted(map(str, df.collect()))
+            spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+            if name == "mix":
+                size = collections.Counter()
+                for x in df.collect():
+                    size[x.source] += len(split(x.text))
+                plan = {r.source_size: r.target for r in mixing.mixed(docs()).collect()}
+                whole = collections.Counter()
+                for _, t, _, source, _ in rows:
+                    whole[source] += len(split(t))
+                assert all(abs(size[s] - plan[whole[s]]) <= 151 for s in whole)
+            else:
+                assert got == sorted(map(str, make().collect())), name
+    finally:
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")

@@ -326,16 +326,18 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) ->
 
         return of
 
-    left, last = docs, None
-    for shared, flag in _passes(docs.sparkSession, benchmark, block, holds):
-        if flag is None:
-            return left
-        kept = keep_rows(left, lambda plain, old, flag=flag: plain.where(~flag(old("text"))))
-        if shared is not None:
-            kept = written(kept, "clean")
-            shared.destroy()
-            if last is not None:
-                discard(last)
-            last = kept
-        left = kept
-    return left
+    def decide(plain: DataFrame, old) -> DataFrame:
+        left, last = plain, None
+        for shared, flag in _passes(docs.sparkSession, benchmark, block, holds):
+            if flag is None:
+                return left
+            left = left.where(~flag(old("text")))
+            if shared is not None:
+                left = written(left, "clean")
+                shared.destroy()
+                if last is not None:
+                    discard(last)
+                last = left
+        return left
+
+    return keep_rows(docs, decide)
