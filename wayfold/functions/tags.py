@@ -31,6 +31,18 @@ HOME_BUILDINGS = ("house", "residential", "apartments", "dormitory")
 HOME_HIGHWAYS = ("residential", "living_street")
 ROAD_HIGHWAYS = ("service", "tertiary", "secondary", "primary", "trunk", "unclassified", "construction", "services", "track", "motorway", "motorway_link", "trunk_link", "primary_link", "secondary_link", "tertiary_link")
 PATH_HIGHWAYS = ("footway", "path", "steps", "pedestrian", "cycleway", "bridleway", "residential", "service", "living_street", "track", "unclassified")
+FOOTPATH_HIGHWAYS = ("footway", "path", "steps", "pedestrian")
+DEDICATED_FOOTWAYS = ("footway", "pedestrian", "steps")
+REQUESTED_KEYS = ("amenity", "shop", "tourism", "leisure", "natural", "landuse", "building", "highway", "water", "historic", "cultural")
+ROADS = ("motorway", "trunk", "primary", "secondary", "tertiary", "unclassified", "residential", "living_street", "service", "road", "motorway_link", "trunk_link", "primary_link", "secondary_link", "tertiary_link")
+PARK_LEISURE, PARK_LANDUSE = ("park", "garden", "nature_reserve"), ("recreation_ground", "grass")
+LAKES = ("lake", "pond", "reservoir")
+CULTURE_TOURISM = ("museum", "gallery", "artwork", "attraction", "viewpoint", "information")
+CULTURE_HISTORIC = ("monument", "memorial", "archaeological_site", "castle", "ruins")
+CULTURE_AMENITIES = ("theatre", "arts_centre", "cinema")
+WATER_TERMS = ("lake", "river", "sea", "ocean", "bay", "reservoir", "pond", "canal", "stream", "hồ", "biển", "vịnh", "sông")
+WATER_NATURAL = ("water", "coastline", "beach")
+WATER_VALUES = ("lake", "river", "canal", "reservoir", "pond", "stream", "basin", "lagoon", "bay", "sea")
 POI_RULES = (("tourism", "viewpoint"), ("tourism", "attraction"), ("tourism", "museum"), ("tourism", "artwork"), ("tourism", "picnic_site"), ("amenity", "place_of_worship"), ("building", "temple"), ("building", "church"), ("building", "cathedral"), ("building", "chapel"), ("building", "mosque"), ("building", "pagoda"), ("historic", None), ("natural", "peak"), ("natural", "cave_entrance"), ("man_made", "tower"), ("man_made", "water_well"))
 IMPORTANCE = {"leisure=park": 3.0, "tourism=attraction": 3.0, "amenity=place_of_worship": 2.5, "amenity=university": 2.5, "amenity=school": 2.0, "amenity=hospital": 2.0, "amenity=marketplace": 2.0}
 CATEGORIES = ("Luxury / high-end", "Tourist lodging", "Nightlife", "Food & café", "Religious / historic", "Industrial / logistics", "Civic / institutional", "Walkable commercial", "Local services", "Scenic / water / forest", "Nature / quiet", "Family / residential", "Road-heavy / car-oriented")
@@ -75,6 +87,42 @@ def category(tags: Column, name: Column) -> Column:
     )
 
 
+def is_interesting(tags: Column) -> Column:
+    """Any of the requested keys, or a temple, park, lake, attraction or cultural site."""
+    there = lambda k: F.try_element_at(tags, F.lit(k)).isNotNull()
+    temple = (tag(tags, "landuse") == "religious") | (tag(tags, "building") == "temple") | (tag(tags, "amenity") == "place_of_worship") | there("religion")
+    park = tag(tags, "leisure").isin(*PARK_LEISURE) | tag(tags, "landuse").isin(*PARK_LANDUSE) | (tag(tags, "boundary") == "national_park")
+    culture = tag(tags, "tourism").isin(*CULTURE_TOURISM) | tag(tags, "historic").isin(*CULTURE_HISTORIC) | tag(tags, "amenity").isin(*CULTURE_AMENITIES) | there("cultural")
+    return reduce(lambda a, b: a | b, [there(k) for k in REQUESTED_KEYS]) | temple | park | tag(tags, "water").isin(*LAKES) | culture
+
+
+def projected(tags: Column) -> Column:
+    """The tags of the requested keys."""
+    return F.map_filter(tags, lambda k, v: k.isin(*REQUESTED_KEYS))
+
+
+def is_water(tags: Column, name: Column) -> Column:
+    """By tags, else by a term anywhere in the name."""
+    by_tag = tag(tags, "water").isin(*WATER_VALUES) | tag(tags, "natural").isin(*WATER_NATURAL) | tag(tags, "waterway").isin(*WATER_VALUES) | tag(tags, "landuse").isin("reservoir", "basin")
+    return by_tag | _has(F.lower(F.coalesce(name, F.lit(""))), WATER_TERMS)
+
+
+def is_coastline(tags: Column) -> Column:
+    return tag(tags, "natural").isin("coastline", "beach")
+
+
+def highway_in(tags: Column, values) -> Column:
+    """Whether the highway is one of ``values``: footpaths, roads, paths or dedicated footways."""
+    return tag(tags, "highway").isin(*values)
+
+
+def from_pairs(pairs: Column) -> Column:
+    """A map of an array of structs with k and v, the last of a repeated key."""
+    entries = F.transform(pairs, lambda t: F.struct(t["k"].alias("key"), t["v"].alias("value")))
+    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda f: f["key"] == e["key"]))
+    return F.coalesce(F.map_from_entries(last), F.create_map().cast("map<string,string>"))
+
+
 def poi_rule(tags: Column) -> Column:
     """``key=value`` of the first rule that the tags meet, else null."""
     return F.coalesce(*[F.when((tag(tags, k) == v) if v else F.try_element_at(tags, F.lit(k)).isNotNull(), F.concat(F.lit(f"{k}="), tag(tags, k))) for k, v in POI_RULES])

@@ -86,7 +86,7 @@ def binned(points: DataFrame, length: float, track: str = "file") -> DataFrame:
 
 def ring_turns(points: DataFrame, degrees: float = 30.0, track: str = "file") -> DataFrame:
     """Turns of each track as a ring: places where the heading changes by ``degrees`` or more,
-    the one between the last leg and the first too."""
+    the one between the last leg and the first too. Fewer than three points make no turn."""
     by = Window.partitionBy(track).orderBy("pos")
     whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     x, y = geo.local_xy(F.col("lat"), F.col("lon"), F.first("lat").over(whole), F.first("lon").over(whole))
@@ -98,7 +98,7 @@ def ring_turns(points: DataFrame, degrees: float = 30.0, track: str = "file") ->
     turn = geo.heading_change(
         F.col("x") - beside("x", F.lag, F.last), F.col("y") - beside("y", F.lag, F.last), beside("x", F.lead, F.first) - F.col("x"), beside("y", F.lead, F.first) - F.col("y")
     )
-    return flat.withColumn("turn", turn).groupBy(track).agg(F.count_if(F.abs("turn") >= degrees).alias("turns"))
+    return flat.withColumn("turn", turn).groupBy(track).agg(F.when(F.count("*") < 3, 0).otherwise(F.count_if(F.abs("turn") >= degrees)).alias("turns"))
 
 
 def following(points: DataFrame, track: str = "file") -> DataFrame:

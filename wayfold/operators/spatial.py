@@ -8,27 +8,54 @@ from pyspark.sql import functions as F
 from wayfold.functions import geo
 
 
-def _cells(df: DataFrame, size: float, around: bool) -> DataFrame:
-    cx, cy = F.floor(F.col("lon") / size), F.floor(F.col("lat") / size)
-    if not around:
-        return df.withColumn("_cx", cx).withColumn("_cy", cy)
-    near = F.array(*[F.struct((cx + i).alias("_cx"), (cy + j).alias("_cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    return df.select("*", F.inline(near))
-
-
-def within(left: DataFrame, right: DataFrame, metres: float, most_lat: float = 60.0) -> DataFrame:
-    """Pairs (a, b, metres) of left (id, lat, lon) and right within a distance. Cells are as wide as
-    the distance at ``most_lat``, so the nine around a point hold all partners up to there."""
-    import math
-
-    size = metres / (geo.METERS_PER_DEGREE_LAT * math.cos(math.radians(most_lat))) * 1.01
-    a = _cells(left.select(F.col("id").alias("a"), "lat", "lon"), size, True).withColumnsRenamed({"lat": "lat1", "lon": "lon1"})
-    b = _cells(right.select(F.col("id").alias("b"), "lat", "lon"), size, False)
-    pairs = a.join(b, ["_cx", "_cy"]).withColumn("metres", geo.haversine(F.col("lat1"), F.col("lon1"), F.col("lat"), F.col("lon")))
-    return pairs.where(F.col("metres") <= metres).select("a", "b", "metres")
+#: Height of the bands of latitude that have cells of their own width.
+BAND = 1.0
+
+
+def _width(band, metres: float):
+    """Degrees of longitude that are ``metres`` or more anywhere in the band or one beside it; a whole circle
+    near the poles."""
+    far = F.least(F.greatest(F.abs(band), F.abs(band + 1)) + 1, F.lit(90 / BAND)) * BAND
+    shrunk = F.cos(F.radians(far))
+    return F.when(shrunk < 0.01, 360.0).otherwise(F.least(F.lit(360.0), F.lit(metres / geo.METERS_PER_DEGREE_LAT * 1.02) / shrunk))
+
+
+def within(left: DataFrame, right: DataFrame, metres: float, once: bool = False) -> DataFrame:
+    """Pairs (a, b, metres) of left (id, lat, lon) and right within a distance, anywhere on the globe; with
+    ``once`` only those with a < b. Cells are as high as the distance and as wide as it is in their band of
+    latitude; a right row lies in one cell of its own band, a left row looks for it in the cells beside its
+    own, in the bands beside its own and across the meridian where longitudes wrap. Rows without
+    coordinates have no partner; equal rows are partners each."""
+    height = min(metres / geo.METERS_PER_DEGREE_LAT * 1.02, BAND)
+    if metres / geo.METERS_PER_DEGREE_LAT * 1.02 > BAND:
+        raise ValueError("distances beyond a band of latitude are not supported")
+
+    def wrapped(x, width):
+        n = F.floor(F.lit(360.0) / width)  # whole cells around the globe, the last one wider
+        return F.when(n < 3, 0).otherwise(F.pmod(x, n))
+
+    def cell_x(lon, width):
+        n = F.floor(F.lit(360.0) / width)
+        return F.when(n < 3, 0).otherwise(F.least(F.floor(F.pmod(lon, F.lit(360.0)) / width), n - 1))
+
+    band, cy = F.floor(F.col("lat") / BAND), F.floor(F.col("lat") / height)
+    b = right.select(F.col("id").alias("b"), "lat", "lon").where("lat IS NOT NULL AND lon IS NOT NULL")
+    b = b.select("*", band.alias("_band"), cell_x(F.col("lon"), _width(band, metres)).alias("_cx"), cy.alias("_cy"))
+    a = left.select(F.col("id").alias("a"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1")).where("lat1 IS NOT NULL AND lon1 IS NOT NULL")
+    near = lambda x: F.array_distinct(F.array(F.floor((x - height) / BAND), F.floor(x / BAND), F.floor((x + height) / BAND)))
+    a = a.select("*", F.explode(near(F.col("lat1"))).alias("_band"))
+    width = _width(F.col("_band"), metres)
+    own = cell_x(F.col("lon1"), width)
+    a = a.select("*", F.explode(F.array_distinct(F.array(wrapped(own - 1, width), own, wrapped(own + 1, width)))).alias("_cx"), F.floor(F.col("lat1") / height).alias("_y"))
+    a = a.select("*", F.explode(F.array(F.col("_y") - 1, F.col("_y"), F.col("_y") + 1)).alias("_cy"))
+    pairs = a.join(b, ["_band", "_cx", "_cy"]).where(F.col("a") < F.col("b")) if once else a.join(b, ["_band", "_cx", "_cy"])
+    box = F.abs(F.col("lat1") - F.col("lat")) <= height
+    found = pairs.where(box).withColumn("metres", geo.haversine(F.col("lat1"), F.col("lon1"), F.col("lat"), F.col("lon")))
+    return found.where(F.col("metres") <= metres).select("a", "b", "metres")
 
 
 def nearest(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
-    """For each left id the nearest right id within a distance; of equal distances the later id."""
-    pairs = within(left, right, metres)
+    """For each left id the nearest other right id within a distance; of equal distances the later id. A left
+    id without one gives no row."""
+    pairs = within(left, right, metres).where(F.col("a") != F.col("b"))
     return pairs.groupBy("a").agg(F.min_by("b", F.struct("metres", -F.col("b"))).alias("b"), F.min("metres").alias("metres"))

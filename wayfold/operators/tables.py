@@ -20,9 +20,10 @@ def robust_width(values: DataFrame, key: str, value: str, times: float = 3.0) ->
 
 
 def drop_repeated(rows: DataFrame, name: str, exempt: str = "Unknown") -> DataFrame:
-    """Without all rows whose name occurs more than once, but for the exempt one."""
-    once = rows.groupBy(name).agg(F.count("*").alias("_n")).where((F.col("_n") == 1) | (F.col(name) == exempt)).drop("_n")
-    return rows.join(once, name, "left_semi")
+    """Without all rows whose name occurs more than once, but for the exempt one. Rows without a name are
+    not the same place, and stay."""
+    often = rows.where(F.col(name).isNotNull() & (F.col(name) != exempt)).groupBy(name).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    return rows.join(often, name, "left_anti")
 
 
 def first_of(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -50,10 +51,11 @@ def cells(places: DataFrame, size: float) -> DataFrame:
 
 
 def minmax(rows: DataFrame, fields: list[str]) -> DataFrame:
-    """``n_<field>`` in 0 to 1 over the whole table; 0 for a flat field. The extremes are one row."""
+    """``n_<field>`` in 0 to 1 over the whole table; 0 for a flat field, one whose extremes differ by a
+    billionth of the larger or less. The extremes are one row. Null values stay null."""
     ends = rows.agg(*[f(c).alias(f"{n}_{c}") for c in fields for n, f in (("lo", F.min), ("hi", F.max))])
     wide = rows.crossJoin(F.broadcast(ends))
-    scaled = [F.when(F.col(f"hi_{c}") == F.col(f"lo_{c}"), 0.0).otherwise((F.col(c) - F.col(f"lo_{c}")) / (F.col(f"hi_{c}") - F.col(f"lo_{c}"))).alias(f"n_{c}") for c in fields]
+    scaled = [F.when(F.col(f"hi_{c}") - F.col(f"lo_{c}") <= 1e-9 * F.greatest(F.abs(F.col(f"hi_{c}")), F.abs(F.col(f"lo_{c}"))), 0.0).otherwise((F.col(c) - F.col(f"lo_{c}")) / (F.col(f"hi_{c}") - F.col(f"lo_{c}"))).alias(f"n_{c}") for c in fields]
     return wide.select(*rows.columns, *scaled)
 
 

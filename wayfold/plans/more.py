@@ -86,7 +86,7 @@ R7 = f"""WITH f AS (SELECT file, pos, radians(lon - first_value(lon) OVER w) * c
   n AS (SELECT file, x - coalesce(lag(x) OVER o, last_value(x) OVER w) AS ax, y - coalesce(lag(y) OVER o, last_value(y) OVER w) AS ay,
     coalesce(lead(x) OVER o, first_value(x) OVER w) - x AS bx, coalesce(lead(y) OVER o, first_value(y) OVER w) - y AS by_ FROM f
     WINDOW o AS (PARTITION BY file ORDER BY pos), w AS (PARTITION BY file ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
-  SELECT file, count(*) FILTER (WHERE sqrt(ax * ax + ay * ay) >= 1 AND sqrt(bx * bx + by_ * by_) >= 1 AND abs(degrees(atan2(ax * by_ - ay * bx, ax * bx + ay * by_))) >= 30) AS turns
+  SELECT file, CASE WHEN count(*) < 3 THEN 0 ELSE count(*) FILTER (WHERE sqrt(ax * ax + ay * ay) >= 1 AND sqrt(bx * bx + by_ * by_) >= 1 AND abs(degrees(atan2(ax * by_ - ay * bx, ax * bx + ay * by_))) >= 30) END AS turns
   FROM n GROUP BY file"""
 
 
