@@ -57,51 +57,52 @@ def mean_distance(a: np.ndarray, b: np.ndarray, samples: int = 11) -> float:
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> float:
     """Length of the union of intervals."""
+    if not len(starts):
+        return 0.0
     order = np.argsort(starts)
     s, e = starts[order], ends[order]
     reach = np.maximum.accumulate(np.append(-np.inf, e))[:-1]
     return float(np.maximum(e - np.maximum(s, reach), 0).sum())
 
 
-def covered(line: np.ndarray, others: list[np.ndarray], radius: float) -> float:
-    """Length of the line that lies within ``radius`` of any other line: each of its segments is cut by the
-    rectangle and the two discs about each segment of the others, and the intervals are united."""
-    parts = [np.concatenate([o[:-1], o[1:]], 1) if len(o) > 1 else np.concatenate([o, o], 1) for o in others if len(o)]
-    if not parts or len(line) < 2:
-        return 0.0
-    s = np.concatenate(parts)
-    c, e = s[:, :2], s[:, 2:]
+def cut(p: np.ndarray, q: np.ndarray, other: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """Where, as shares of the way from p to q, a leg lies within ``radius`` of another line: it is cut by the
+    rectangle beside and the discs about the ends of each segment."""
+    c, e = (other[:-1], other[1:]) if len(other) > 1 else (other, other)
+    d = q - p
+    length = float(np.hypot(*d))
+    if not length or not len(c):
+        return np.zeros(0), np.zeros(0)
     axis = e - c
     size = np.hypot(*axis.T)
     unit = axis / np.where(size > 0, size, 1)[:, None]
-    total = 0.0
-    for p, q in zip(line[:-1], line[1:], strict=True):
-        d = q - p
-        length = float(np.hypot(*d))
-        if not length:
-            continue
-        lo, hi = [], []
-        for centre in (c, e):  # discs
-            f = p - centre
-            b, k = f @ d / length**2, ((f**2).sum(1) - radius**2) / length**2
-            root = b * b - k
-            has = root > 0
-            lo.append((-b - np.sqrt(np.maximum(root, 0)))[has])
-            hi.append((-b + np.sqrt(np.maximum(root, 0)))[has])
-        f = p - c  # rectangles: the place along and beside each axis is linear in t
-        first, last = np.zeros(len(c)), np.ones(len(c))
-        for start, slope, least, most in ((unit[:, 0] * f[:, 0] + unit[:, 1] * f[:, 1], unit @ d, np.zeros(len(c)), size), (unit[:, 0] * f[:, 1] - unit[:, 1] * f[:, 0], unit[:, 0] * d[1] - unit[:, 1] * d[0], -radius, radius)):
-            flat = np.abs(slope) < EPS
-            with np.errstate(all="ignore"):
-                x, y = (least - start) / slope, (most - start) / slope
-            outside = flat & ((start < least - EPS) | (start > most + EPS))
-            first = np.where(flat, np.where(outside, 2.0, first), np.maximum(first, np.minimum(x, y)))
-            last = np.where(flat, last, np.minimum(last, np.maximum(x, y)))
-        has = (size > 0) & (first < last)
-        lo, hi = np.concatenate([*lo, first[has]]), np.concatenate([*hi, last[has]])
-        lo, hi = np.clip(lo, 0, 1), np.clip(hi, 0, 1)
-        total += merged(lo[hi > lo], hi[hi > lo]) * length if (hi > lo).any() else 0.0
-    return total
+    lo, hi = [], []
+    for centre in (c, e):
+        f = p - centre
+        b, k = f @ d / length**2, ((f**2).sum(1) - radius**2) / length**2
+        root = np.sqrt(np.maximum(b * b - k, 0))
+        has = b * b - k > 0
+        lo.append((-b - root)[has])
+        hi.append((-b + root)[has])
+    f = p - c  # along and beside each axis a place of the leg is linear in its share
+    first, last = np.zeros(len(c)), np.ones(len(c))
+    along = (unit * f).sum(1), unit @ d, np.zeros(len(c)), size
+    beside = unit[:, 0] * f[:, 1] - unit[:, 1] * f[:, 0], unit[:, 0] * d[1] - unit[:, 1] * d[0], np.full(len(c), -radius), np.full(len(c), radius)
+    for start, slope, least, most in (along, beside):
+        flat = np.abs(slope) < EPS
+        out = flat & ((start < least - EPS) | (start > most + EPS))
+        steep = np.where(flat, 1, slope)
+        x, y = (least - start) / steep, (most - start) / steep
+        first = np.where(out, 2.0, np.where(flat, first, np.maximum(first, np.minimum(x, y))))
+        last = np.where(flat, last, np.minimum(last, np.maximum(x, y)))
+    has = (size > 0) & (first < last)
+    lo, hi = np.clip(np.concatenate([*lo, first[has]]), 0, 1), np.clip(np.concatenate([*hi, last[has]]), 0, 1)
+    return lo[hi > lo], hi[hi > lo]
+
+
+def covered(line: np.ndarray, other: np.ndarray, radius: float) -> float:
+    """Length of the line that lies within ``radius`` of another."""
+    return sum(merged(*cut(p, q, other, radius)) * float(np.hypot(*(q - p))) for p, q in zip(line[:-1], line[1:], strict=True))
 
 
 def overlap(a: np.ndarray, b: np.ndarray, radius: float) -> float:
@@ -110,7 +111,7 @@ def overlap(a: np.ndarray, b: np.ndarray, radius: float) -> float:
     if not la or not lb:
         return 0.0
     short, long, size = (a, b, la) if la <= lb else (b, a, lb)
-    return min(1.0, covered(short, [long], radius) / size)
+    return min(1.0, covered(short, long, radius) / size)
 
 
 def simplified(line: np.ndarray, tolerance: float) -> np.ndarray:

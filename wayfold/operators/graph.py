@@ -2,40 +2,61 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder; a temporary one only where none is set."""
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the folder that the session names; a temporary one only where driver and
+    executors are one process."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="wayfold-"))
+        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if where is None and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="wayfold-"))
     return df.checkpoint()
 
 
+def components(edges: DataFrame, most: int = 60) -> DataFrame:
+    """node, root for every node of edges (u, v): the smallest node that it reaches. Labels spread over links
+    and jump to the label of their label, so long chains settle in few rounds; each is a checkpoint."""
+    both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
+    now = cut(both.groupBy("u").agg(F.min(F.least("u", "v")).alias("root")).withColumnRenamed("u", "node"))
+    both = cut(both)
+    for _ in range(most):
+        heard = both.join(now.select(F.col("node").alias("v"), "root"), "v").groupBy(F.col("u").alias("node")).agg(F.min("root").alias("heard"))
+        closer = now.join(heard, "node").select("node", "root", F.least("root", "heard").alias("low"))
+        far = now.select(F.col("node").alias("low"), F.col("root").alias("beyond"))
+        new = cut(closer.join(far, "low", "left").select("node", "root", F.least("low", F.coalesce("beyond", "low")).alias("new")))
+        if not new.where("new <> root").head(1):
+            return now
+        now = new.select("node", F.col("new").alias("root"))
+    raise RuntimeError(f"components did not settle in {most} rounds")
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     ends = edges.select(F.col("u").alias("node")).unionAll(edges.select(F.col("v").alias("node")))
     return ends.groupBy("node").agg(F.count("*").alias("degree"))
 
 
 def peel(edges: DataFrame, k: int = 2, rounds: int | None = None) -> DataFrame:
-    """Edges left after dropping nodes of degree < k, ``rounds`` times or until none is dropped.
-    Each fourth round is checkpointed, which ends its lineage in the shared folder."""
+    """Edges left after dropping nodes of degree < k, ``rounds`` times or until none is dropped. Each round
+    reads a checkpoint and counts both ends in one pass, so plans do not grow. An empty table stays empty."""
     done, before = 0, None
     while rounds is None or done < rounds:
-        weak = degrees(edges).where(F.col("degree") < k).select("node")
-        edges = edges.join(weak, edges.u == weak.node, "left_anti").join(weak, edges.v == weak.node, "left_anti")
-        done += 1
+        edges = cut(edges)
         if rounds is None:
-            if done % 4 == 0:
-                edges = _cut(edges)
             now = edges.count()
             if now == before:
                 return edges
             before = now
+        weak = edges.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") < k).select("node")
+        edges = edges.join(weak, edges.u == weak.node, "left_anti").join(weak, edges.v == weak.node, "left_anti")
+        done += 1
     return edges
 
 

@@ -13,6 +13,8 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from wayfold.functions import geo, planar, tags
 from wayfold.functions.parse import endpoint_key
@@ -180,11 +182,11 @@ def measured(rows: DataFrame, grid: Grid) -> DataFrame:
     line_parts. Rows without a vertex mean have a null cell; text that is no geometry raises."""
     kind = "struct<cell:string,kind:string,length_m:double,ends:array<struct<lon:double,lat:double>>,area_parts:array<struct<cell:string,size:double>>,line_parts:array<struct<cell:string,size:double>>>"
 
+    arrow = to_arrow_type(DataType.fromDDL(kind))
+
     @F.arrow_udf(kind)
     def measure(column):
         import pyarrow as pa
-        from pyspark.sql.pandas.types import to_arrow_type
-        from pyspark.sql.types import _parse_datatype_string
 
         out = []
         for text in column.to_pylist():
@@ -205,7 +207,7 @@ def measured(rows: DataFrame, grid: Grid) -> DataFrame:
                             shares[k] = shares.get(k, 0.0) + v
                     row["area_parts"] = [{"cell": k, "size": v} for k, v in shares.items()]
             out.append(row)
-        return pa.array(out, to_arrow_type(_parse_datatype_string(kind)))
+        return pa.array(out, arrow)
 
     return rows.withColumn("_m", measure("geometry")).select("name", "category", "tags", "_m.*")
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.functions import tags as rules
-from wayfold.operators import tables
+from wayfold.operators import graph, tables
 
 TAG = "tag array<struct<_k string, _v string>>"
 SCHEMAS = {
@@ -127,12 +127,12 @@ def complete(relation_rows: DataFrame, node_rows: DataFrame, way_rows: DataFrame
     there = node_rows.select(F.lit("node").alias("type"), F.col("id").alias("ref")).unionByName(way_rows.select(F.lit("way").alias("type"), F.col("id").alias("ref")))
     members = relation_rows.select("id", F.inline("members")).select("id", "type", "ref")
     lacking = members.where("type <> 'relation'").join(there, ["type", "ref"], "left_anti").select("id").distinct()
-    kept = relation_rows.join(lacking, "id", "left_anti").checkpoint()
+    kept = graph.cut(relation_rows.join(lacking, "id", "left_anti"))
     n = kept.count()
     for _ in range(most):
         ids = kept.select(F.lit("relation").alias("type"), F.col("id").alias("ref"))
         gone = kept.select("id", F.inline("members")).where("type = 'relation'").join(ids, ["type", "ref"], "left_anti").select("id").distinct()
-        kept = kept.join(gone, "id", "left_anti").checkpoint()
+        kept = graph.cut(kept.join(gone, "id", "left_anti"))
         n, before = kept.count(), n
         if n == before:
             return kept
