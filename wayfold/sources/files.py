@@ -22,7 +22,7 @@ def polylines(spark: SparkSession, path: str, precision: int = 5) -> DataFrame:
     """file, line, points (lat, lon) of files that each hold one JSON array of encoded lines."""
     from wayfold.functions.geodesy import polyline
 
-    texts = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", "array<string>", {"mode": "FAILFAST"}).alias("lines"))
+    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", "array<string>", {"mode": "FAILFAST"}).alias("lines"))
     return texts.select("file", F.posexplode("lines").alias("line", "text")).select("file", "line", polyline(F.col("text"), precision).alias("points"))
 
 
@@ -41,7 +41,7 @@ def waypoints(spark: SparkSession, *paths: str) -> DataFrame:
 
 def cell_ids(spark: SparkSession, path: str) -> DataFrame:
     """cell, each once, of a JSON array of ids."""
-    text = spark.read.option("wholetext", "true").text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.explode(F.from_json("value", "array<string>", {"mode": "FAILFAST"})).alias("cell")).distinct()
 
 
@@ -85,7 +85,7 @@ def poly(spark: SparkSession, path: str) -> DataFrame:
 
         return pa.array([[{"lon": x, "lat": y} for x, y in ring(t)] for t in column.to_pylist()], pa.list_(pa.struct([("lon", pa.float64()), ("lat", pa.float64())])))
 
-    texts = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("file"), parse("value").alias("ring"))
+    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), parse("value").alias("ring"))
     return texts.select("file", F.posexplode("ring").alias("pos", "p")).select("file", "pos", "p.lon", "p.lat")
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 KINDS = {"trk": ("trk", "trkseg", "trkpt"), "rte": ("rte", None, "rtept"), "wpt": (None, None, "wpt")}
 SCHEMA = "file string, kind string, name string, track int, segment int, pos long, lat double, lon double, ele double, time timestamp"
@@ -62,12 +64,11 @@ def read(spark: SparkSession, path: str, kinds=("trk",), recursive: bool = True,
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     files = files.option("pathGlobFilter", "*.{gpx,gpx.gz,GPX}").load(path).select("path", "content")
 
+    schema = to_arrow_schema(StructType.fromDDL(SCHEMA))
+
     def run(batches):
         import pyarrow as pa
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import StructType
 
-        schema = to_arrow_schema(StructType.fromDDL(SCHEMA), timezone="UTC")
         for batch in batches:
             for file, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rows = list(parse(data, file, kinds))
