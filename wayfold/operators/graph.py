@@ -4,20 +4,30 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the session names; a temporary one only where driver and
-    executors are one process."""
-    sc = df.sparkSession.sparkContext
+def shared_path(spark, name: str) -> str:
+    """A fresh path in the folder that the session names for checkpoints; a temporary one only where driver and
+    executors are one process. It is deleted when the driver's JVM ends."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        where = spark.conf.get("spark.checkpoint.dir", None)
         if where is None and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="wayfold-"))
+    path = f"{sc._jsc.sc().getCheckpointDir().get()}/wayfold-{name}-{uuid.uuid4().hex}"
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    return path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder."""
+    shared_path(df.sparkSession, "cut")
     return df.checkpoint()
 
 

@@ -159,20 +159,21 @@ def _frame(rows, names):
 
 
 def _tiles(lines: DataFrame, key: str, line: str, metres: float, size: float) -> DataFrame:
-    """A row for each tile of ``size`` degrees that a line's bounds with a margin touch."""
+    """A row, with the bounds (w, s, e, n), for each tile of ``size`` degrees that a line's bounds with a margin touch."""
     lats, lons = F.transform(line, lambda p: p["lat"]), F.transform(line, lambda p: p["lon"])
     d = F.lit(metres / geo.METERS_PER_DEGREE_LAT)
     wide = d / F.cos(F.radians(F.greatest(F.abs(F.array_min(lats)), F.abs(F.array_max(lats)))))
-    span = lambda lo, hi: F.sequence(F.floor(lo / size), F.floor(hi / size))
-    xs, ys = span(F.array_min(lons) - wide, F.array_max(lons) + wide), span(F.array_min(lats) - d, F.array_max(lats) + d)
-    return lines.where(F.size(line) > 0).select(key, F.explode(xs).alias("_x"), ys.alias("_ys")).select(key, "_x", F.explode("_ys").alias("_y"))
+    box = lines.where(F.size(line) > 0).select(key, (F.array_min(lons) - wide).alias("w"), (F.array_min(lats) - d).alias("s"), (F.array_max(lons) + wide).alias("e"), (F.array_max(lats) + d).alias("n"))
+    span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size))
+    return box.withColumn("_x", F.explode(span("w", "e"))).withColumn("_y", F.explode(span("s", "n")))
 
 
 def touching(lines: DataFrame, others: DataFrame, metres: float, size: float = 0.01) -> DataFrame:
     """Pairs (id, other) whose bounds come within ``metres``, by tiles that both touch; each pair once."""
     a = _tiles(lines, "id", "points", metres, size)
-    b = _tiles(others.withColumnRenamed("id", "other"), "other", "points", 0.0, size)
-    return a.join(b, ["_x", "_y"]).select("id", "other").distinct()
+    b = _tiles(others.withColumnRenamed("id", "other"), "other", "points", 0.0, size).withColumnsRenamed({c: f"o{c}" for c in "wsen"})
+    met = a.join(b, ["_x", "_y"]).where("w <= oe AND ow <= e AND s <= `on` AND os <= n")
+    return met.select("id", "other").distinct()
 
 
 def coverage(lines: DataFrame, ways: DataFrame, metres: float = COVER_M) -> DataFrame:
@@ -183,7 +184,9 @@ def coverage(lines: DataFrame, ways: DataFrame, metres: float = COVER_M) -> Data
     def one(p, q):
         line, way = _flat(p, p), _flat(q, p)
         at, out = planar.lengths(line), []
-        for i in range(len(line) - 1):
+        low, high = way.min(0) - metres, way.max(0) + metres
+        near = (np.maximum(line[:-1], line[1:]) >= low).all(1) & (np.minimum(line[:-1], line[1:]) <= high).all(1)
+        for i in np.flatnonzero(near).tolist():
             lo, hi = planar.cut(line[i], line[i + 1], way, metres)
             out += [{"a": float(at[i] + x * (at[i + 1] - at[i])), "b": float(at[i] + y * (at[i + 1] - at[i]))} for x, y in zip(lo, hi, strict=True)]
         return out

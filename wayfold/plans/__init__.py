@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wayfold.functions import geo, tags
+from wayfold.functions import geo
 from wayfold.operators import graph, spatial, tables, traces
 from wayfold.plans.more import MORE
+from wayfold.plans.survey import SURVEY, samples_queries
 from wayfold.plans.views import EDGES, MEMBERS, PLACES, REFS, TRACE, view
 
 CENTRE = (10.775, 106.705)
@@ -162,15 +163,6 @@ _DEG = "SELECT node, count(*) AS degree FROM (SELECT u AS node FROM ({e}) UNION
 R1 = _DEG.format(e=EDGES)
 
 
-def r2_peel(spark, sf_dir):
-    return graph.peel(view(spark, sf_dir, "edges").where("u % 3 <> 0 OR v % 5 = 0"), 3, rounds=2)
-
-
-R2 = f"""WITH e AS (SELECT * FROM ({EDGES}) e1 WHERE u % 3 <> 0 OR v % 5 = 0),
-d1 AS ({_DEG.format(e='SELECT * FROM e')}), e1 AS (SELECT * FROM e WHERE u NOT IN (SELECT node FROM d1 WHERE degree < 3) AND v NOT IN (SELECT node FROM d1 WHERE degree < 3)),
-d2 AS ({_DEG.format(e='SELECT * FROM e1')}) SELECT * FROM e1 WHERE u NOT IN (SELECT node FROM d2 WHERE degree < 3) AND v NOT IN (SELECT node FROM d2 WHERE degree < 3)"""
-
-
 def r2_core(spark, sf_dir):
     return graph.peel(view(spark, sf_dir, "edges"), 2)
 
@@ -182,17 +174,6 @@ WHERE m < 2 AND da >= 2 AND db >= 2),
 z AS (SELECT *, count(*) OVER (PARTITION BY a) AS da, count(*) OVER (PARTITION BY b) AS db FROM r WHERE i = (SELECT max(i) FROM r))
 SELECT a AS u, b AS v FROM z WHERE a < b AND da >= 2 AND db >= 2"""
 
-_PART = "(u % 4 = 0 AND v % 4 = 0)"
-
-
-def r6_triangles(spark, sf_dir):
-    return graph.triangles(view(spark, sf_dir, "edges").where(_PART))
-
-
-R6 = f"WITH e AS (SELECT * FROM ({EDGES}) e1 WHERE {_PART}) SELECT a.u AS x, a.v AS y, b.v AS z FROM e a JOIN e b ON a.v = b.u JOIN e c ON c.u = a.u AND c.v = b.v"
-
-
-
 def r6_all_triangles(spark, sf_dir):
     return graph.triangles(view(spark, sf_dir, "edges"))
 
@@ -223,19 +204,6 @@ def g36_scores(spark, sf_dir):
 G36 = f"""SELECT cx, cy, {', '.join(f'round(CASE WHEN max({c}) OVER () = min({c}) OVER () THEN 0 ELSE ({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) END, 6) AS n_{c}' for c in ('food', 'road'))} FROM ({A1}) c"""
 
 
-def t4_category(spark, sf_dir):
-    p = view(spark, sf_dir, "places")
-    kinds = ["amenity=cafe", "amenity=bar", "tourism=hotel", "leisure=golf_course", "landuse=industrial", "building=school", "amenity=place_of_worship", "shop=books", "amenity=bank", "natural=water", "leisure=park", "highway=residential", "highway=primary", "highway=footway"]
-    pick = F.split(F.element_at(F.array(*[F.lit(k) for k in kinds]), (F.col("id") % len(kinds) + 1).cast("int")), "=")
-    tag = F.create_map(pick[0], pick[1])
-    return p.select("id", tags.category(tag, F.lit("place")).alias("category"), tags.poi_rule(tag).alias("poi"), tags.importance(tags.poi_rule(tag)).alias("importance"))
-
-
-_ORDER = (3, 2, 1, 0, 5, 6, 4, 7, 8, 9, 10, 11, 12, 8)
-T4 = f"""SELECT id, CASE {' '.join(f"WHEN id % 14 = {i} THEN '{tags.CATEGORIES[c]}'" for i, c in enumerate(_ORDER))} END AS category,
-CASE WHEN id % 14 = 6 THEN 'amenity=place_of_worship' END AS poi, CASE WHEN id % 14 = 6 THEN 2.5::DOUBLE ELSE 1.0::DOUBLE END AS importance FROM ({PLACES}) p"""
-
-
 def f16_gate(spark, sf_dir):
     t = view(spark, sf_dir, "trace").groupBy("file").agg(F.avg((F.col("value") > 100).cast("double")).alias("coverage"), F.countDistinct("event_type").alias("n"))
     kind = F.when(F.col("coverage") >= 0.45, "covered").when(F.col("n") >= 5, "missing").otherwise("noise")
@@ -256,11 +224,11 @@ K22 = f"SELECT file, segment, format('{{:02d}}:{{:02d}}:{{:02d}}', segment * 3 /
 
 _ALL = {
     "f1_bbox": (f1_bbox, F1), "f2_radius": (f2_radius, F2), "f16_gate": (f16_gate, F16), "g3_bearing": (g3_bearing, G3), "g36_scores": (g36_scores, G36),
-    "t4_category": (t4_category, T4), "j1_way_lines": (j1_way_lines, J1), "j3_within": (j3_within, J3), "j6_nearest": (j6_nearest, J6), "j19_relations": (j19_relations, J19),
+    "j1_way_lines": (j1_way_lines, J1), "j3_within": (j3_within, J3), "j6_nearest": (j6_nearest, J6), "j19_relations": (j19_relations, J19),
     "a1_cells": (a1_cells, A1), "a6_width": (a6_width, A6), "a13_drop_repeated": (a13_drop_repeated, A13), "a14_first_of": (a14_first_of, A14), "a16_spans": (a16_spans, A16),
-    "w1_steps": (w1_steps, W1), "w2_track_samples": (w2_track_samples, W2), "w11_slugs": (w11_slugs, W11), "r1_degrees": (r1_degrees, R1), "r2_peel": (r2_peel, R2), "r2_core": (r2_core, R2_CORE),
-    "r6_triangles": (r6_triangles, R6), "r6_all_triangles": (r6_all_triangles, R6_ALL), "k22_timestamps": (k22_timestamps, K22),
-} | MORE
+    "w1_steps": (w1_steps, W1), "w2_track_samples": (w2_track_samples, W2), "w11_slugs": (w11_slugs, W11), "r1_degrees": (r1_degrees, R1), "r2_core": (r2_core, R2_CORE),
+    "r6_all_triangles": (r6_all_triangles, R6_ALL), "k22_timestamps": (k22_timestamps, K22),
+} | MORE | SURVEY | samples_queries(W2)
 
 
 def queries() -> dict:
@@ -268,4 +236,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _ALL.items()}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}

@@ -194,13 +194,6 @@ def t23_lat_lon(spark, sf_dir):
 T23 = f"SELECT id, CASE WHEN id % 4 > 1 THEN CAST(id AS DOUBLE) END AS lat, CASE WHEN id % 4 > 1 THEN -id - 0.5E0 END AS lon FROM ({PLACES}) p"
 
 
-def o3_first_pois(spark, sf_dir):
-    return view(spark, sf_dir, "places").orderBy(F.lower("name"), "id").limit(20).select("id", "name")
-
-
-O3 = f"SELECT id, name FROM ({PLACES}) p ORDER BY lower(name), id LIMIT 20"
-
-
 def j18_referenced(spark, sf_dir):
     used = _read(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("id"))
     return view(spark, sf_dir, "places").join(used, "id", "left_semi").select("id")
@@ -222,5 +215,5 @@ MORE = {
     "g2_length": (g2_length, G2), "w7_without_near": (w7_without_near, W7), "w8_chunks": (w8_chunks, W8), "w9_ends": (w9_ends, W9), "w10_bins": (w10_bins, W10),
     "r7_ring_turns": (r7_ring_turns, R7), "j14_following": (j14_following, J14), "g10_vertex_mean": (g10_vertex_mean, G10), "g14_kind": (g14_kind, G14),
     "a5_endpoints": (a5_endpoints, A5), "a9_rollup": (a9_rollup, A9), "a10_summary": (a10_summary, A10), "a11_shortest": (a11_shortest, A11), "g28_bbox": (g28_bbox, G28),
-    "g32_dms": (g32_dms, G32), "t23_lat_lon": (t23_lat_lon, T23), "o3_first_pois": (o3_first_pois, O3), "j18_referenced": (j18_referenced, J18), "u4_sets": (u4_sets, U4),
+    "g32_dms": (g32_dms, G32), "t23_lat_lon": (t23_lat_lon, T23), "j18_referenced": (j18_referenced, J18), "u4_sets": (u4_sets, U4),
 }

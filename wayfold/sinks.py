@@ -196,6 +196,15 @@ def small_extract(way_row: DataFrame, node_rows: DataFrame, path: str) -> DataFr
     return nodes.crossJoin(way).select(F.lit(path).alias("path"), F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<osm version="0.6">\n'), "nodes", F.lit("\n"), "way", F.lit("\n</osm>\n")).alias("text"))
 
 
+def osm(nodes: DataFrame, ways: DataFrame, path: str) -> None:
+    """Folders ``nodes`` and ``ways`` of map extracts as XML, a file for each task: nodes (id, lat, lon), ways (id,
+    refs, tags)."""
+    marks = F.transform(F.array_sort(F.map_entries("tags")), lambda e: F.struct(e["key"].alias("_k"), e["value"].alias("_v")))
+    out = {"node": nodes.select(F.col("id").alias("_id"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon")), "way": ways.select(F.col("id").alias("_id"), F.transform("refs", lambda r: F.struct(r.alias("_ref"))).alias("nd"), marks.alias("tag"))}
+    for kind, rows in out.items():
+        rows.write.format("xml").option("rowTag", kind).option("rootTag", "osm").save(f"{path}/{kind}s")
+
+
 def save(documents: DataFrame) -> list[str]:
     """Writes each document (path, text) whole or not at all: to a name of its own first, then renamed. Returns the
     paths. Documents go through Hadoop's file systems from the driver, one at a time."""

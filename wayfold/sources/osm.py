@@ -1,4 +1,5 @@
-"""Map extracts as XML: nodes, ways and relations by Spark's XML reader, which splits large files.
+"""Map extracts as XML: nodes, ways and relations by Spark's XML reader, which streams a file in one task, so
+a large extract is read in parallel as far as it is cut into files (``sinks.osm`` writes one for each task).
 
 Schemas are given, so nothing is read twice. Tags become a map. Missing children give empty arrays and maps.
 """
