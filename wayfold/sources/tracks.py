@@ -13,6 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 KINDS = {"trk": ("trk", "trkseg", "trkpt"), "rte": ("rte", None, "rtept"), "wpt": (None, None, "wpt")}
+GLOB = "*.{gpx,gpx.gz,GPX}"
 SCHEMA = "file string, kind string, name string, track int, segment int, pos long, lat double, lon double, ele double, time timestamp"
 
 
@@ -62,8 +63,14 @@ def read(spark: SparkSession, path: str, kinds=("trk",), recursive: bool = True,
     """The points of all GPX files of a folder or glob: of tracks, or of routes (``rte``) and waypoints
     (``wpt``) too. A folder without files gives no rows, or raises if points are ``required``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    files = files.option("pathGlobFilter", "*.{gpx,gpx.gz,GPX}").load(path).select("path", "content")
+    out = points_of(files.option("pathGlobFilter", GLOB).load(path), kinds)
+    if required and not out.head(1):
+        raise ValueError(f"{path} holds no points")
+    return out
+
 
+def points_of(files: DataFrame, kinds=("trk",)) -> DataFrame:
+    """The points of files (path, content), a stream of them too."""
     schema = to_arrow_schema(StructType.fromDDL(SCHEMA))
 
     def run(batches):
@@ -76,10 +83,7 @@ def read(spark: SparkSession, path: str, kinds=("trk",), recursive: bool = True,
                     columns = list(zip(*rows[at : at + 50_000], strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    out = files.mapInArrow(run, SCHEMA)
-    if required and not out.head(1):
-        raise ValueError(f"{path} holds no points")
-    return out
+    return files.select("path", "content").mapInArrow(run, SCHEMA)
 
 
 def track_rows(points: DataFrame) -> DataFrame:
