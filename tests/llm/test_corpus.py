@@ -427,6 +427,27 @@ def test_near_dedup_equals_brute_force(spark):
     assert near > 20 and got == sorted(set(root))
 
 
+def compared(monkeypatch):
+    """The numbers of pairs that near_dedup compares, call by call."""
+    calls, similar = [], near_copies.similar
+    monkeypatch.setattr(near_copies, "similar", lambda pairs, *rest: calls.append(pairs.distinct().count()) or similar(pairs, *rest))
+    return calls
+
+
+def test_near_dedup_joins_a_large_group_without_all_its_pairs(spark, monkeypatch):
+    rng = random.Random(4)
+    base, texts = [f"w{rng.randrange(5000)}" for _ in range(150)], []
+    for i in range(400):
+        copy = list(base)
+        for at in rng.sample(range(5, 145), i and rng.choice([1, 2, 2, 3, 3, 3])):
+            copy[at] = f"edited{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    calls = compared(monkeypatch)
+    got = near_copies.one_of_each(frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)]), 5)
+    assert [r.doc_id for r in got.collect()] == [0]  # each is similar to the first
+    assert sum(calls) < 6 * len(texts), calls
+
+
 def edit_distance_to_infix(item, text):
     row = [0] * (len(text) + 1)
     for i, w in enumerate(item, 1):

@@ -14,9 +14,10 @@ similar sets can are dropped inside the join and never become rows. The others a
 Texts are told apart by a hash of their bytes, not by their place in the table, so a table that is
 split differently when it is read again gives the same rows.
 
-A group of many near copies is joined by hubs: each shingle has a few, and a set is compared with the
-``TRIED`` hubs that it shares most shingles with. After ``ROUNDS`` of that, with hubs of components that
-are still apart, all pairs that lie in different components are compared, which completes the result.
+A group of many near copies is joined by hubs. Each shingle has a few: the most central sets, whose first shingles
+most others have too, so that they lie between the copies of a large group, and two at random. A set is
+compared with the ``TRIED`` hubs that it shares most shingles with and with the most central one. After ``ROUNDS`` of that, all pairs that
+lie in different components are compared, which completes the result.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from operator import add
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.llm.common import discard, identified, keep_rows, keyed_join, mix, one_of_equals, texts_of, word_hashes, written
@@ -35,7 +36,7 @@ from wayfold.llm.simhash import components
 #: Rows of which one is sampled for the order, and shingles that are held as common, at most.
 SAMPLE, COMMON = 8, 1 << 20
 #: Hubs that a set is compared with in a round, and rounds; these order the work and change no result.
-TRIED, ROUNDS = 3, 2
+TRIED, ROUNDS = 3, 1
 BITS = 512
 #: Places of texts that are broadcast to find the texts; more are shuffled.
 FEW = 1 << 18
@@ -183,19 +184,23 @@ def similar(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
 
 
 def _hubs(x: DataFrame, seed: int) -> DataFrame:
-    """x, y: each set of ``x`` (key, x, nx, sx, i, small, root) with the hubs, in other components, that it
-    shares most keys with."""
+    """x, y: each set of ``x`` (key, x, nx, sx, i, small, central, root) with the hubs, in other components,
+    that it shares most keys with, and the most central one."""
 
     def hub(order, pick):
-        return pick(F.struct(order.alias("h"), F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("i").alias("j"), F.col("root").alias("other"), F.col("sx").alias("sy")))
+        return pick(F.struct(order.alias("h"), F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("i").alias("j"), F.col("root").alias("other"), F.col("sx").alias("sy"), "central"))
 
-    ends = [hub(F.xxhash64(F.lit(s), "root", "x"), f).alias(f"hub{i}") for i, (s, f) in enumerate([(seed, F.min), (seed, F.max), (seed + 1, F.min), (seed + 1, F.max)])]
+    chance, half = F.xxhash64(F.lit(seed), "root", "x"), F.pmod(F.xxhash64(F.lit(seed), "root"), F.lit(2))
+    # the central hubs of a key are of two components
+    orders = [(chance, F.min), (chance, F.max), *[(F.when(half == i, F.col("central")), F.max) for i in range(2)]]
+    ends = [hub(order, f).alias(f"hub{i}") for i, (order, f) in enumerate(orders)]
     keys = written(x.groupBy("key").agg(F.count("*").alias("n"), *ends), "hubs")
     hubs = keys.select("key", F.array_distinct(F.array("hub0", "hub1", "hub2", "hub3")).alias("hubs"))
     met = keyed_join(x, hubs, ["key"], keys.select("key", "n")).select("x", "nx", "sx", "i", "root", F.inline("hubs"))
-    fit = met.where((F.col("root") != F.col("other")) & _fit()).groupBy("x", "y").agg(F.count("*").alias("n"))
-    best = fit.groupBy("x").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "y")), False), 1, TRIED).alias("best"))
-    pairs = best.select("x", F.explode("best.y").alias("y"))
+    fit = met.where((F.col("root") != F.col("other")) & _fit()).groupBy("x", "y").agg(F.count("*").alias("n"), F.max("central").alias("central"))
+    best = F.slice(F.sort_array(F.collect_list(F.struct("n", "central", "y")), False), 1, TRIED).alias("best")
+    best = fit.groupBy("x").agg(best, F.max(F.struct("central", "n", "y")).alias("top"))
+    pairs = best.select("x", F.explode(F.array_union("best.y", F.array("top.y"))).alias("y"))
     return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
@@ -206,11 +211,14 @@ def grouped(nodes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     spread = spread.withColumn("small", F.expr("i <= nx div 9"))
     keys = written(spread.groupBy("key").agg(F.count("*").alias("n"), F.max("small").alias("s")).where("n > 1 AND s").select("key", "n"), "keys")
     sketches = nodes.select(F.col("place").alias("x"), F.col("sketch").alias("sx"))
-    x = written(keyed_join(spread, keys.select("key"), ["key"], keys).join(sketches, "x").withColumn("root", F.col("x")), "shared")
+    # how many sets share the first n // 9 + 1: an edit puts rare ones there
+    central = F.coalesce(F.sum(F.when(F.col("small"), F.col("n"))).over(Window.partitionBy("x")), F.lit(0)).alias("central")
+    shared = keyed_join(spread, keys, ["key"], keys).select("key", "x", "nx", "i", "small", central)
+    x = written(shared.join(sketches, "x").withColumn("root", F.col("x")), "shared")
     discard(keys)
     edges = roots = None
     for turn in range(ROUNDS):
-        found = similar(_hubs(x, 2 * turn), texts, k)
+        found = similar(_hubs(x, turn), texts, k)
         edges = found if edges is None else edges.unionByName(found)
         roots = written(components(edges), "roots")
         rooted = x.drop("root").join(roots.withColumnRenamed("node", "x"), "x", "left").withColumn("root", F.coalesce("root", "x"))
