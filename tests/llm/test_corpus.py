@@ -448,6 +448,21 @@ def test_near_dedup_joins_a_large_group_without_all_its_pairs(spark, monkeypatch
     assert sum(calls) < 6 * len(texts), calls
 
 
+def test_near_dedup_begins_with_linked_fingerprints(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = []
+    for _ in range(12):
+        base = [f"w{rng.randrange(3000)}" for _ in range(700)]
+        for at in range(4):
+            texts.append(" ".join(base[: 350 + at] + ["edited"] * (at > 0) + base[351 + at :]))
+    texts += ["one two three", ""]
+    prints = sorted({naive_fingerprint(t, 5) for t in texts if t})
+    linked = sum((p ^ q).bit_count() <= 2 for i, p in enumerate(prints) for q in prints[:i])
+    calls = compared(monkeypatch)
+    near_copies.one_of_each(frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)]), 5)
+    assert linked > 10 and calls[0] == linked + len(texts) - 1 - len(prints)
+
+
 def edit_distance_to_infix(item, text):
     row = [0] * (len(text) + 1)
     for i, w in enumerate(item, 1):

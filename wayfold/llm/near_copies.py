@@ -14,10 +14,14 @@ similar sets can are dropped inside the join and never become rows. The others a
 Texts are told apart by a hash of their bytes, not by their place in the table, so a table that is
 split differently when it is read again gives the same rows.
 
-A group of many near copies is joined by hubs. Each shingle has a few: the most central sets, whose first shingles
+The first pairs are those of op2's method: texts whose SimHash fingerprints over the same shingles the
+ring of segments links. Each is confirmed by the sets, as no number of bits stands for a similarity.
+
+What is still apart is joined by hubs. Each shingle has a few: the most central sets, whose first shingles
 most others have too, so that they lie between the copies of a large group, and two at random. A set is
 compared with the ``TRIED`` hubs that it shares most shingles with and with the most central one. After ``ROUNDS`` of that, all pairs that
-lie in different components are compared, which completes the result.
+lie in different components are compared, which completes the result: no link is lost that the
+fingerprints do not show.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.llm.common import discard, identified, keep_rows, keyed_join, mix, one_of_equals, texts_of, word_hashes, written
-from wayfold.llm.simhash import components
+from wayfold.llm.simhash import components, fingerprint, links
 
 #: Rows of which one is sampled for the order, and shingles that are held as common, at most.
 SAMPLE, COMMON = 8, 1 << 20
@@ -99,7 +103,7 @@ def _common(df: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def prefixes(df: DataFrame, k: int) -> DataFrame:
     """From uid, rid, doc_id, text: uid, rid, doc_id, digest and size n of the set, and where the task meets
-    the text first, the set's first n // 5 + 1 hashes in the common order, its sketch and the packed text."""
+    the text first, the set's first n // 5 + 1 hashes in the common order, its sketch, the text's fingerprint and the packed text."""
     held = df.sparkSession.sparkContext.broadcast(_common(df, k))
 
     def of(batches):
@@ -120,7 +124,7 @@ def prefixes(df: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                digests, sizes, firsts, sketches, packed = [], [], [], [], []
+                digests, sizes, firsts, sketches, prints, packed = [], [], [], [], [], []
                 for uid, text in zip(part.column(0).to_pylist(), texts_of(part), strict=True):
                     known = met.get(uid)
                     if known is None:
@@ -128,17 +132,19 @@ def prefixes(df: DataFrame, k: int) -> DataFrame:
                         known = met[uid] = (xxhash.xxh128_digest(h.tobytes()), len(h))
                         firsts.append(prefix(h))
                         sketches.append(sketch(h))
+                        prints.append(fingerprint(text, k))
                         packed.append(press.compress(text))
                     else:
                         firsts.append(None)
                         sketches.append(None)
+                        prints.append(None)
                         packed.append(None)
                     digests.append(known[0])
                     sizes.append(known[1])
-                arrays = [part.column(0), part.column(1), part.column(2), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64())), pa.array(packed, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["uid", "rid", "doc_id", "digest", "n", "first", "sketch", "packed"])
+                arrays = [part.column(0), part.column(1), part.column(2), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64())), pa.array(prints, pa.int64()), pa.array(packed, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["uid", "rid", "doc_id", "digest", "n", "first", "sketch", "fp", "packed"])
 
-    kinds = f"uid long, rid long, doc_id {df.schema['doc_id'].dataType.simpleString()}, digest binary, n int, first array<long>, sketch array<long>, packed binary"
+    kinds = f"uid long, rid long, doc_id {df.schema['doc_id'].dataType.simpleString()}, digest binary, n int, first array<long>, sketch array<long>, fp long, packed binary"
     return df.select("uid", "rid", "doc_id", "text").mapInArrow(of, kinds)
 
 
@@ -183,6 +189,17 @@ def similar(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     return near
 
 
+def _linked(nodes: DataFrame) -> DataFrame:
+    """x, y: sets of ``nodes`` (place, n, fp) whose fingerprints are linked. Of sets with one fingerprint
+    the first stands for it, and the others are paired with that."""
+    some = nodes.where("n > 0").select("fp", "place")
+    firsts = written(some.groupBy("fp").agg(F.min("place").alias("x"), F.count("*").alias("n")), "fingerprints")
+    ends = firsts.select(F.col("fp").alias("b"), F.col("x").alias("y"))
+    pairs = links(firsts.select("fp")).join(firsts.select(F.col("fp").alias("a"), "x"), "a").join(ends, "b").select("x", "y")
+    same = keyed_join(some, firsts.select("fp", "x"), ["fp"], firsts.select("fp", "n")).where("place <> x").select("x", F.col("place").alias("y"))
+    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).unionByName(same)
+
+
 def _hubs(x: DataFrame, seed: int) -> DataFrame:
     """x, y: each set of ``x`` (key, x, nx, sx, i, small, central, root) with the hubs, in other components,
     that it shares most keys with, and the most central one."""
@@ -205,7 +222,7 @@ def _hubs(x: DataFrame, seed: int) -> DataFrame:
 
 
 def grouped(nodes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """node, root for every node with a near copy, from a row per node, place, n, first, sketch, and
+    """node, root for every node with a near copy, from a row per node, place, n, first, sketch, fp, and
     their ``texts`` (place, packed)."""
     spread = nodes.where("n > 0").select(F.col("place").alias("x"), F.col("n").alias("nx"), F.posexplode("first").alias("i", "key"))
     spread = spread.withColumn("small", F.expr("i <= nx div 9"))
@@ -217,8 +234,8 @@ def grouped(nodes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     x = written(shared.join(sketches, "x").withColumn("root", F.col("x")), "shared")
     discard(keys)
     edges = roots = None
-    for turn in range(ROUNDS):
-        found = similar(_hubs(x, turn), texts, k)
+    for turn in range(1 + ROUNDS):
+        found = similar(_hubs(x, turn) if turn else _linked(nodes), texts, k)
         edges = found if edges is None else edges.unionByName(found)
         roots = written(components(edges), "roots")
         rooted = x.drop("root").join(roots.withColumnRenamed("node", "x"), "x", "left").withColumn("root", F.coalesce("root", "x"))
@@ -247,7 +264,7 @@ def one_of_each(docs: DataFrame, k: int) -> DataFrame:
         order = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid", "rid")).alias("first")
         node = F.min(F.when(F.col("head"), F.col("place"))).alias("node")
         nodes = written(sets.groupBy("digest").agg(node, order), "nodes")
-        heads = sets.select("place", "n", "first", "sketch").join(nodes.select(F.col("node").alias("place")), "place", "left_semi")
+        heads = sets.select("place", "n", "first", "sketch", "fp").join(nodes.select(F.col("node").alias("place")), "place", "left_semi")
         heads = written(heads, "heads")
         roots = grouped(heads, sets, k)
         discard(heads)
