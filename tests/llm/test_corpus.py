@@ -147,6 +147,23 @@ def test_links_equal_brute_force(spark, monkeypatch, crowd):
     assert got == {(min(a, b), max(a, b)) for a in signed for b in signed if a != b and ((a ^ b) & mask).bit_count() <= 2}
 
 
+@pytest.mark.parametrize("crowd", [simhash.CROWD, 8000])
+def test_links_send_no_probes_to_the_driver(spark, monkeypatch, crowd):
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    rng = np.random.default_rng(7)
+    one = rng.integers(0, 1 << 22, 4000, dtype=np.uint64) << np.uint64(42) | np.uint64(0x155554AAAAA)  # they share two segments
+    values = np.unique(np.concatenate([rng.integers(0, 1 << 63, 2000, dtype=np.uint64), one])).view(np.int64)
+    nodes = simhash.written(spark.createDataFrame([(v,) for v in values.tolist()], "fp long"), "fingerprints")
+    limit = "spark.sql.maxBroadcastTableSize"
+    spark.conf.set(limit, "4m")  # a broadcast that is larger fails
+    try:
+        got = {(r.a, r.b) for r in simhash.links(nodes).collect()}
+    finally:
+        spark.conf.unset(limit)
+    want = {(a, b) for a in values.tolist() for b in values[np.bitwise_count((values ^ a).view(np.uint64)) <= 2].tolist() if a < b}
+    assert got == want and len(want) > 100
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(70)] + [(100, 101)], "a long, b long")
     assert {(r.node, r.root) for r in simhash.components(edges).collect()} == {(i, 0) for i in range(1, 71)} | {(101, 100)}

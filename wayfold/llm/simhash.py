@@ -88,7 +88,8 @@ def links(nodes: DataFrame) -> DataFrame:
     crowded = written(crowded, "crowded")
 
     def met(i: DataFrame, p: DataFrame, on: list[str]) -> DataFrame:
-        both = i.withColumnRenamed("fp", "y").join(p.withColumnRenamed("fp", "x"), on)
+        # Spark's estimate leaves out the rows that explode adds: without the hint the probes may be broadcast
+        both = i.withColumnRenamed("fp", "y").join(p.withColumnRenamed("fp", "x").hint("merge"), on)
         near = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= BUDGET
         # equal keys meet from both sides: one is enough
         return both.where(near & (F.col("x") != F.col("y")) & (~F.col("same") | (F.col("x") < F.col("y")))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
