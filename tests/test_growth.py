@@ -1,6 +1,10 @@
 """Steps that have to stay small in the driver, or linear, where tables grow: their plans and what they compare."""
 
+import itertools
+import random
+
 from wayfold.operators import spatial
+from wayfold.operators.ordered import metres
 
 
 def plan(df) -> str:
@@ -13,3 +17,19 @@ def test_within_broadcasts_nothing_and_keeps_its_partitions(spark):
     assert "Broadcast" not in plan(pairs) and plan(pairs).count("REPARTITION_BY_NUM") == 2
     assert pairs.count() == 4 * 50 - 10
 
+
+def test_nearest_looks_no_farther_than_it_has_to(spark, monkeypatch):
+    rng = random.Random(1)
+    rows = [(i, 10 + rng.uniform(0, 0.005), 106 + rng.uniform(0, 0.005)) for i in range(150)]
+    rows += [(i, 10.02, 106.02) for i in range(200, 230)] + [(300, 10.03, 106.03), (301, 10.035, 106.03), (400, 11.0, 107.0)]
+    df = spark.createDataFrame([*rows, (500, None, 1.0)], "id long, lat double, lon double")
+    tried, own = [], spatial.within
+    monkeypatch.setattr(spatial, "within", lambda a, b, m, once=False: tried.append((a.count(), m)) or own(a, b, m, once))
+    got = {r.a: (r.b, round(r.metres, 6)) for r in spatial.nearest(df, df, 1500.0).collect()}
+    want = {}
+    for a, b in itertools.permutations(rows, 2):
+        d = metres(*a[1:], *b[1:])
+        if d <= 1500 and (a[0] not in want or (d, -b[0]) < want[a[0]]):
+            want[a[0]] = (d, -b[0])
+    assert got == {a: (-b, round(d, 6)) for a, (d, b) in want.items()} and len(got) == 182
+    assert tried[0][1] < 400 and tried[-1] == (min(n for n, _ in tried), 1500.0) and tried[-1][0] < 10

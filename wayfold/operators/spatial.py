@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from wayfold.functions import geo
 from wayfold.operators import graph
@@ -78,6 +79,29 @@ def _haversine() -> Column:
 
 def nearest(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
     """For each left id the nearest other right id within a distance; of equal distances the later id. A left
-    id without one gives no row."""
-    pairs = within(left, right, metres).where(F.col("a") != F.col("b"))
-    return pairs.groupBy("a").agg(F.min_by("b", F.struct("metres", -F.col("b"))).alias("b"), F.min("metres").alias("metres"))
+    id without one gives no row. Distances are tried from one at which cells hold few right rows up to ``metres``,
+    four times as far each time, and only by rows that found none, so that dense places do not meet as squares. Of right
+    rows at one place the two latest ids are enough."""
+    by_id = Window.partitionBy("lat", "lon").orderBy(F.desc("id"))
+    places = right.select("id", "lat", "lon").where("lat IS NOT NULL AND lon IS NOT NULL AND id IS NOT NULL").distinct()
+    places = graph.written(places.withColumn("_n", F.row_number().over(by_id)).where("_n <= 2").drop("_n"))
+    todo, found = left.select("id", "lat", "lon"), None
+    radius = metres / 2 ** _halvings(places, metres)
+    while True:
+        todo = graph.written(todo)
+        pairs = within(todo, places, radius).where(F.col("a") != F.col("b"))
+        near = pairs.groupBy("a").agg(F.min_by("b", F.struct("metres", -F.col("b"))).alias("b"), F.min("metres").alias("metres"))
+        if radius >= metres or (found is not None and todo.isEmpty()):
+            return near if found is None else found.unionByName(near)
+        near = graph.written(near)
+        found = near if found is None else found.unionByName(near)
+        todo, radius = todo.join(near.select(F.col("a").alias("id")).hint("merge"), "id", "left_anti"), min(metres, radius * 4)
+
+
+def _halvings(places: DataFrame, metres: float, most: int = 16, few: int = 4) -> int:
+    """How often a distance is halved until a cell of its size holds ``few`` other rows or less, as a row sees it."""
+    side = lambda k: F.lit(metres / geo.METERS_PER_DEGREE_LAT / 2**k)
+    wide = F.greatest(F.cos(F.radians("lat")), F.lit(0.01))
+    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.floor(F.col("lat") / side(k)).alias("y"), F.floor(F.col("lon") * wide / side(k)).alias("x")) for k in range(0, most + 1, 2)]))
+    held = places.select(cells.alias("c")).groupBy("c").agg(F.count("*").alias("n")).groupBy("c.k").agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("seen"))
+    return min((r["k"] for r in held.collect() if r["seen"] <= few + 1), default=0 if places.isEmpty() else most)
