@@ -3,7 +3,13 @@
 import itertools
 import random
 
-from wayfold.operators import spatial
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from wayfold import sinks
+from wayfold.functions import geodesy, planar
+from wayfold.operators import courses, hexgrid, loops, paths, spatial
 from wayfold.operators.ordered import metres
 
 
@@ -33,3 +39,25 @@ def test_nearest_looks_no_farther_than_it_has_to(spark, monkeypatch):
             want[a[0]] = (d, -b[0])
     assert got == {a: (-b, round(d, 6)) for a, (d, b) in want.items()} and len(got) == 182
     assert tried[0][1] < 400 and tried[-1] == (min(n for n, _ in tried), 1500.0) and tried[-1][0] < 10
+
+
+def lines_of(rng, n):
+    return [np.cumsum(rng.normal(size=(rng.integers(1, 12), 2)) * 20, 0) for _ in range(n)]
+
+
+def padded(lines, width=16):
+    return np.array([np.concatenate([x, np.repeat(x[-1:], width - len(x), 0)]) for x in lines])
+
+
+def test_many_pairs_of_lines_at_once_equal_one_by_one():
+    rng = np.random.default_rng(3)
+    a, b = lines_of(rng, 200), lines_of(rng, 200)
+    a[5] = np.repeat(a[5][:1], 3, 0)
+    x, y = padded(a), padded(b)
+    assert planar.mean_distance_each(x, y) == pytest.approx([planar.mean_distance(p, q) for p, q in zip(a, b)], abs=1e-9)
+    for radius in (2.0, 10.0, 30.0):
+        assert planar.overlap_each(x, y, radius) == pytest.approx([planar.overlap(p, q, radius) for p, q in zip(a, b)], abs=1e-9)
+    points = rng.normal(size=(200, 2)) * 40
+    signed, along = planar.signed_each(points, y, np.array([len(q) for q in b]))
+    want = [planar.signed(p[None], q) for p, q in zip(points, b)]
+    assert signed == pytest.approx([s[0] for s, _ in want], abs=1e-9) and along == pytest.approx([t[0] for _, t in want], abs=1e-9)
