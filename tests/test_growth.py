@@ -61,3 +61,22 @@ def test_many_pairs_of_lines_at_once_equal_one_by_one():
     signed, along = planar.signed_each(points, y, np.array([len(q) for q in b]))
     want = [planar.signed(p[None], q) for p, q in zip(points, b)]
     assert signed == pytest.approx([s[0] for s, _ in want], abs=1e-9) and along == pytest.approx([t[0] for _, t in want], abs=1e-9)
+
+
+def line_frame(spark, lats):
+    rows = [(i, "f", [(lat, 106.0), (lat + 0.001, 106.0)]) for i, lat in enumerate(lats)]
+    return spark.createDataFrame(rows, "id long, file string, points array<struct<lat:double,lon:double>>")
+
+
+def test_pairs_come_from_one_join(spark):
+    lines, ways = line_frame(spark, (10.0, 10.0095, 10.5)), line_frame(spark, (10.0, 10.0095, 10.02))
+    met = paths.touching(lines, ways, 12.0)
+    assert "Broadcast" not in plan(met) and "Aggregate" not in plan(met)
+    assert sorted(met.collect()) == [(0, 0), (1, 1)]
+    at = spark.createDataFrame([(7, 10.0, 106.0001)], "id long, lat double, lon double")
+    near = paths.nearest_way(at, ways, 50.0)
+    assert plan(near).count("Join") == 1 and [(r.id, r.way) for r in near.collect()] == [(7, 0)]
+    pois = at.withColumns({"name": F.lit("x"), "importance": F.lit(1.0)})
+    few = paths.near_pois(lines, pois)
+    assert plan(few).count("Join") == 1 and [(r.id, len(r.pois)) for r in few.collect()] == [(0, 1)]
+    assert {r.id: round(r.coverage, 9) for r in paths.coverage(lines, ways).collect()} == {0: 1, 1: 1, 2: 0}
