@@ -80,3 +80,14 @@ def test_pairs_come_from_one_join(spark):
     few = paths.near_pois(lines, pois)
     assert plan(few).count("Join") == 1 and [(r.id, len(r.pois)) for r in few.collect()] == [(0, 1)]
     assert {r.id: round(r.coverage, 9) for r in paths.coverage(lines, ways).collect()} == {0: 1, 1: 1, 2: 0}
+
+
+def test_cells_clip_only_where_bounds_meet_and_are_measured_once(spark, monkeypatch):
+    grid, clips, own = hexgrid.Grid(9, 10.0), [], planar.clipped
+    monkeypatch.setattr(planar, "clipped", lambda *x: clips.append(1) or own(*x))
+    ring = np.array([(10.0, 106.0), (10.0, 106.0005), (10.0005, 106.0005), (10.0005, 106.0), (10.0, 106.0)])
+    size = abs(planar.signed_area(np.stack(grid.xy(*ring.T), 1)))
+    assert sum(grid.cover([ring]).values()) == pytest.approx(size) and len(clips) <= 4
+    rows = spark.createDataFrame([("a", "x", {"k": "v"}, '{"type":"LineString","coordinates":[[106,10],[106.001,10]]}')], "name string, category string, tags map<string,string>, geometry string")
+    out = hexgrid.features(rows, grid)
+    assert "Python" not in plan(out) and out.first().poi_total == 1

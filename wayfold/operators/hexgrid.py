@@ -18,6 +18,7 @@ from pyspark.sql.types import DataType
 
 from wayfold.functions import geo, planar, tags
 from wayfold.functions.parse import endpoint_key
+from wayfold.operators import graph
 
 # Edge of a cell of resolution 9, width of the band along a coast, words in names, categories.
 EDGE_M, COAST_M = 200.786148, 300.0
@@ -95,6 +96,9 @@ class Grid:
         for r in range(math.floor((y0 / self.edge - 1) / 1.5), math.ceil((y1 / self.edge + 1) / 1.5) + 1):
             row = math.sqrt(3) * self.edge
             for q in range(math.floor(x0 / row - r / 2 - 0.5), math.ceil(x1 / row - r / 2 + 0.5) + 1):
+                cx, cy = self.centre_xy(q, r).tolist()
+                if abs(2 * cx - x0 - x1) > x1 - x0 + row + 1e-3 or abs(2 * cy - y0 - y1) > y1 - y0 + 2 * self.edge + 1e-3:
+                    continue  # their bounds do not meet
                 cell = self.corners_xy(q, r)
                 size = [abs(planar.signed_area(planar.clipped(ring, cell))) for ring in flat]
                 if size[0] - sum(size[1:]) > planar.EPS:
@@ -228,7 +232,9 @@ def land(category: Column, name: Column, tag_map: Column) -> dict[str, Column]:
 def features(rows: DataFrame, grid: Grid) -> DataFrame:
     """cell, counts, sums, intersection_count from name, category, tags, geometry: three kinds of rows in long
     form, added up by cell. Counts and whole lengths go to the cell of the vertex mean."""
-    m = measured(rows, grid)
+    # measured by all tasks, not those of a small file, and once for the four reads below
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    m = graph.written(measured(rows.repartition(n), grid))
     zero = lambda names: [F.lit(0.0).alias(n) for n in names]
     is_line, cat = F.col("kind") == "LineString", F.col("category")
     when = lambda c, v: F.when(F.coalesce(c, F.lit(False)), v).otherwise(0.0)
