@@ -82,6 +82,12 @@ def test_pairs_come_from_one_join(spark):
     assert {r.id: round(r.coverage, 9) for r in paths.coverage(lines, ways).collect()} == {0: 1, 1: 1, 2: 0}
 
 
+def test_rings_need_no_frame_a_relation(spark):
+    members = spark.createDataFrame([(r, "outer", i, p) for r in (1, 2) for i, p in enumerate([[1, 2], [3, 2], [3, 1]])] + [(3, "outer", 0, [1, 2])], "relation long, role string, pos int, refs array<long>")
+    out = loops.stitched(members)
+    assert "InPandas" not in plan(out) and sorted((r.relation, len(r.ring)) for r in out.collect()) == [(1, 4), (2, 4)]
+
+
 def test_cells_clip_only_where_bounds_meet_and_are_measured_once(spark, monkeypatch):
     grid, clips, own = hexgrid.Grid(9, 10.0), [], planar.clipped
     monkeypatch.setattr(planar, "clipped", lambda *x: clips.append(1) or own(*x))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.functions import geo, parse, planar, tags
+from wayfold.operators import graph
 from wayfold.operators.ordered import metres
 
 # Lengths in metres, angles in degrees, the beam.
@@ -283,15 +284,17 @@ def rings(parts: list[list]) -> list[list]:
 
 def stitched(members: DataFrame) -> DataFrame:
     """relation, role, ring (nodes) from members (relation, role, refs)."""
-    import pandas as pd
 
-    kind = members.schema["relation"].dataType.simpleString()
+    @F.arrow_udf("array<array<long>>")
+    def join(column):
+        import pyarrow as pa
 
-    def join(key, rows):
-        made = rings([list(r) for r in rows.sort_values("pos")["refs"]])
-        return pd.DataFrame([(*key, r) for r in made], columns=["relation", "role", "ring"])
+        return pa.array([rings(parts) for parts in column.to_pylist()], pa.list_(pa.list_(pa.int64())))
 
-    return members.groupBy("relation", "role").applyInPandas(join, f"relation {kind}, role string, ring array<long>")
+    # one call for many relations, which are too small to be frames of their own
+    parts = F.transform(F.array_sort(F.collect_list(F.struct(F.col("pos").isNull(), "pos", "refs"))), lambda m: m["refs"])
+    whole = graph.dealt(members, "relation", "role").groupBy("relation", "role").agg(parts.alias("parts"))
+    return whole.select("relation", "role", F.explode(join("parts")).alias("ring"))
 
 
 def relation_ways(relations: DataFrame, ways: DataFrame) -> DataFrame:
