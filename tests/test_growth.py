@@ -82,6 +82,15 @@ def test_pairs_come_from_one_join(spark):
     assert {r.id: round(r.coverage, 9) for r in paths.coverage(lines, ways).collect()} == {0: 1, 1: 1, 2: 0}
 
 
+def test_bins_measure_their_offsets_once(spark):
+    ways = line_frame(spark, (10.0, 10.5)).select(F.col("id").alias("way"), "points")
+    pts = spark.createDataFrame([(0, "f", 10.0005, 106.0001), (0, "g", 10.0002, 105.9999)], "way long, file string, lat double, lon double")
+    off = paths.offsets(pts, ways)
+    assert "Broadcast" not in plan(off) and sorted(round(r.signed) for r in off.collect()) == [-11, 11]
+    bins = paths.width_bins(off, 50.0)
+    assert "Python" not in plan(bins) and bins.agg(F.sum("points")).first()[0] == 2
+
+
 def test_rings_need_no_frame_a_relation(spark):
     members = spark.createDataFrame([(r, "outer", i, p) for r in (1, 2) for i, p in enumerate([[1, 2], [3, 2], [3, 1]])] + [(3, "outer", 0, [1, 2])], "relation long, role string, pos int, refs array<long>")
     out = loops.stitched(members)
