@@ -97,6 +97,22 @@ def test_rings_need_no_frame_a_relation(spark):
     assert "InPandas" not in plan(out) and sorted((r.relation, len(r.ring)) for r in out.collect()) == [(1, 4), (2, 4)]
 
 
+def test_thinning_solves_only_distances_about_the_spacing(monkeypatch):
+    rng = np.random.default_rng(1)
+    places = list(zip(10 + rng.uniform(0, 0.01, 300), 106 + rng.uniform(0, 0.01, 300)))
+    solved, own = [], geodesy.inverse
+    kept = courses.thinned(places)
+    monkeypatch.setattr(geodesy, "inverse", lambda *x: solved.append(len(x[0])) or own(*x))
+    assert courses.thinned(places) == kept and sum(solved[1:]) < 300
+    p = np.array(places)
+    middle, want = np.median(p, 0), []
+    far = own(p[:, 0], p[:, 1], np.full(300, middle[0]), np.full(300, middle[1]))[0]
+    for i in np.argsort(-far, kind="stable"):
+        if all(own([p[i, 0]], [p[i, 1]], [p[j, 0]], [p[j, 1]])[0][0] > 100 for j in want):
+            want.append(i)
+    assert kept == sorted(want)
+
+
 def test_cells_clip_only_where_bounds_meet_and_are_measured_once(spark, monkeypatch):
     grid, clips, own = hexgrid.Grid(9, 10.0), [], planar.clipped
     monkeypatch.setattr(planar, "clipped", lambda *x: clips.append(1) or own(*x))
