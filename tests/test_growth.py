@@ -122,3 +122,12 @@ def test_cells_clip_only_where_bounds_meet_and_are_measured_once(spark, monkeypa
     rows = spark.createDataFrame([("a", "x", {"k": "v"}, '{"type":"LineString","coordinates":[[106,10],[106.001,10]]}')], "name string, category string, tags map<string,string>, geometry string")
     out = hexgrid.features(rows, grid)
     assert "Python" not in plan(out) and out.first().poi_total == 1
+
+
+def test_documents_do_not_pass_through_the_driver(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(f"{tmp_path}/d/{i} %41.gpx", "é" * i) for i in range(4)], "path string, text string")
+    spark.createDataFrame([("old",)], "value string").coalesce(1).write.text(f"{tmp_path}/d")
+    monkeypatch.setattr(type(docs), "toLocalIterator", lambda *a: pytest.fail("texts came to the driver"))
+    for _ in range(2):
+        assert len(sinks.save(docs)) == 4
+    assert sorted(p.name for p in (tmp_path / "d").glob("*.gpx*")) == [f"{i} %41.gpx" for i in range(4)] and (tmp_path / "d/3 %41.gpx").read_text() == "ééé"

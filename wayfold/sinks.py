@@ -207,20 +207,35 @@ def osm(nodes: DataFrame, ways: DataFrame, path: str) -> None:
 
 def save(documents: DataFrame) -> list[str]:
     """Writes each document (path, text) whole or not at all: to a name of its own first, then renamed. Returns the
-    paths. Documents go through Hadoop's file systems from the driver, one at a time."""
-    spark = documents.sparkSession
-    done = []
-    for row in documents.toLocalIterator():
-        target = spark._jvm.org.apache.hadoop.fs.Path(row["path"])
-        fs, part = target.getFileSystem(spark._jsc.hadoopConfiguration()), spark._jvm.org.apache.hadoop.fs.Path(row["path"] + ".part")
-        out = fs.create(part, True)
-        out.write(bytearray(row["text"].encode()))
-        out.close()
-        fs.delete(target, False)
-        if not fs.rename(part, target):
-            raise OSError(f"could not name {row['path']}")
-        done.append(row["path"])
-    return done
+    paths. The tasks write them, so no text goes through the driver, which gets the paths alone."""
+    from wayfold.operators import graph
+
+    def write(batches):
+        import os
+        import uuid
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for batch in batches:
+            for path, text in zip(batch.column(0), batch.column(1), strict=True):
+                path, text = path.as_py(), text.as_py()
+                # a local path is no URI: its blanks and signs stand for themselves
+                local = path.removeprefix("file://") if path.startswith("file:///") else path.removeprefix("file:") if path.startswith("file:/") else path if "://" not in path else None
+                system, name = (fs.LocalFileSystem(), os.path.abspath(local)) if local is not None else fs.FileSystem.from_uri(path)
+                system.create_dir(os.path.dirname(name), recursive=True)
+                part = f"{name}.{uuid.uuid4().hex}.part"
+                with system.open_output_stream(part) as out:
+                    out.write(text.encode())
+                if local is not None:  # Hadoop's checksum of a file that was there before
+                    sum_of = os.path.join(os.path.dirname(name), f".{os.path.basename(name)}.crc")
+                    if os.path.exists(sum_of):
+                        os.remove(sum_of)
+                system.move(part, name)
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["path"])
+
+    texts = graph.dealt(documents.select("path", "text"), "path")
+    return [row["path"] for row in texts.mapInArrow(write, "path string").collect()]
 
 
 def bundles(cluster_rows: DataFrame, path: str) -> DataFrame:
